@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, secrets
+from . import exact_dedup, langid, mixing, pieces, secrets
 
 QUERIES = {
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_language_id": langid.op7_language_id,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op10_mixing": mixing.op10_mixing,
 }
 
