@@ -308,14 +308,14 @@ def decode(df: DataFrame, keep: list[str], column: str = "ids", model: str = MOD
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(vocabulary)
         for batch in batches:
-            ids = batch.column("__lm_ids")
+            ids = batch.column("__lm_coded")
             for a in range(0, len(ids), 1000):
                 part = ids.slice(a, 1000)
                 texts = [segmenter.decode(x.values.to_numpy() if x.is_valid else ()) for x in part]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, 1000) for c in keep), pa.array(texts, pa.string())], [*keep, "__lm_text"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
-    return df.select(*keep, F.col(column).alias("__lm_ids")).mapInArrow(run, ", ".join([*fields, "__lm_text string"]))
+    return df.select(*keep, F.col(column).alias("__lm_coded")).mapInArrow(run, ", ".join([*fields, "__lm_text string"]))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
