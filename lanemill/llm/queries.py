@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, pieces, secrets
+from . import exact_dedup, langid, mixing, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_quality": quality.op5_quality,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_language_id": langid.op7_language_id,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op10_mixing": mixing.op10_mixing,
