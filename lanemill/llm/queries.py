@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, pieces, quality, secrets, toxicity
+from . import exact_dedup, langid, mixing, pieces, quality, secrets, spotsigs, toxicity
 
 QUERIES = {
     "op3_secret_scan": secrets.op3_secret_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_language_id": langid.op7_language_id,
     "op8_sentencepiece": pieces.op8_sentencepiece,
+    "op9_spotsigs": spotsigs.op9_spotsigs,
     "op10_mixing": mixing.op10_mixing,
 }
 
