@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, pieces, quality, secrets, spotsigs, toxicity
+from . import exact_dedup, langid, lm, mixing, pieces, quality, secrets, spotsigs, toxicity
 
 QUERIES = {
+    "op1_lm_scoring": lm.op1_lm_scoring,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality": quality.op5_quality,
