@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, lm, mixing, pieces, quality, secrets, spotsigs, toxicity
+from . import exact_dedup, langid, lm, mixing, neardup, pieces, quality, secrets, spotsigs, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
+    "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality": quality.op5_quality,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_near_duplicates": neardup.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
 }
