@@ -30,11 +30,12 @@ DICTIONARY_BYTES = 112 << 10
 MAX_LANGUAGES = 256
 #: Texts are compressed in equal blocks of at most this many bytes.
 BLOCK = 4096
-LEVEL = 3
-#: Blocks below this size are worth a more thorough search for matches.
+LEVEL = 6
+#: Blocks below this size get a more thorough search for matches, and are repeated up to it: the
+#: encoder stores what it cannot shorten, and would tell no language from another.
 SHORT, SHORT_LEVEL = 400, 9
 #: Margins below this reject a text.
-MIN_MARGIN = 0.002
+MIN_MARGIN = 0.001
 
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -96,7 +97,10 @@ class Classifier:
         step = -(-len(text) // max(1, -(-len(text) // BLOCK)))
         for at in range(0, len(text), max(step, 1)):
             block = text[at : at + step]
-            for k, c in enumerate(self.by_level[SHORT_LEVEL if len(block) < SHORT else LEVEL]):
+            level = SHORT_LEVEL if len(block) < SHORT else LEVEL
+            if len(block) < SHORT:
+                block = b"\n".join([block] * -(-SHORT // len(block)))
+            for k, c in enumerate(self.by_level[level]):
                 total[k] += len(c.compress(block))
         return total
 
