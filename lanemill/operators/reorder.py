@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LaneConfig
-from ..functions.geometry import EPSILON, direction_score, distance_sq, vector
+from ..functions.geometry import EPSILON, direction_score
 from ..schemas import LANES_FLAT
+from .spatial import radius_pairs
 
 #: Candidates behind this score are passed over; scores below/above the next two count as behind/ahead.
 BEHIND, COUNT_BEHIND, COUNT_AHEAD, SCORE_SHIFT = -0.5, -0.3, 0.0, 1.1
@@ -18,12 +19,11 @@ BEHIND, COUNT_BEHIND, COUNT_AHEAD, SCORE_SHIFT = -0.5, -0.3, 0.0, 1.1
 
 def neighbour_counts(flat: DataFrame, config: LaneConfig = LaneConfig()) -> DataFrame:
     """lane_id, pos and how many points of the lane within the start radius lie behind and ahead."""
-    a = flat.select("lane_id", F.struct("pos", "x", "y", "z", "dx", "dy", "dz").alias("a"))
-    b = flat.select("lane_id", F.struct("pos", "x", "y", "z").alias("b"))
-    pairs = a.join(b, "lane_id").filter("a.pos <> b.pos")
-    d_sq = distance_sq(vector("a."), vector("b."))
-    score = direction_score(vector("a.", ("dx", "dy", "dz")), vector("a."), vector("b."))
-    near = pairs.select("lane_id", F.col("a.pos").alias("pos"), d_sq.alias("d_sq"), score.alias("score")).filter(F.col("d_sq") <= config.start_radius**2)
+    points = flat.select("lane_id", "pos", "x", "y", "z", "dx", "dy", "dz")
+    pairs = radius_pairs(points, points.select("lane_id", "pos", "x", "y", "z"), config.start_radius, by=("lane_id",), single=False, inclusive=True)
+    at = lambda names, side: [F.col(f"{n}_{side}") for n in names]
+    score = direction_score(at(("dx", "dy", "dz"), "a"), at("xyz", "a"), at("xyz", "b"))
+    near = pairs.filter("pos_a <> pos_b").select(F.col("lane_id_a").alias("lane_id"), F.col("pos_a").alias("pos"), score.alias("score"))
     counts = near.groupBy("lane_id", "pos").agg(
         F.count_if(F.col("score") < COUNT_BEHIND).alias("behind"), F.count_if((F.col("score") >= COUNT_BEHIND) & (F.col("score") > COUNT_AHEAD)).alias("ahead")
     )

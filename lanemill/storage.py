@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,4 +26,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write and reread: later steps neither recompute ``df`` nor depend on executors that held it."""
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if urlparse(path).scheme in ("", "file"):  # elsewhere the store's own expiry clears the folder
+        atexit.register(shutil.rmtree, unquote(urlparse(path).path), True)
     return df.sparkSession.read.schema(df.schema).parquet(path)
