@@ -8,9 +8,10 @@ confirmed on the full sets, re-read from the texts.
 
 What keeps the work linear in large groups: equal sets are one class from the start, and in
 every node each class is first compared with a few leaders only. Links found this way join the
-classes into components; only nodes that still hold different components go on to branch, and
-only classes of different components are compared there, so no link between components is lost
-and the many links inside a group are never listed.
+classes into components; only nodes that still hold different components go on to branch. In a
+small node all sets are intersected at once, and it gives no more links than it takes to join
+its components, so no link between components is lost and the many pairs of a group are never
+listed.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing;
 fewer than five words count as one shingle; rows that repeat a text are one class; a row
@@ -40,7 +41,7 @@ MIN_NODES = 4
 #: Leaders of a node: different orders of the classes, one for each tree modulo this.
 LEADERS = 4
 #: Nodes up to this size are compared exhaustively; larger ones branch, up to a depth.
-SMALL, DEPTH = 1000, 10
+SMALL, DEPTH = 512, 12
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 5.0
 _FACTORS = mix(np.arange(1, TREES + SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -194,18 +195,69 @@ def _branch(depth: int, share: float):
     return run
 
 
-def _compare(low: float):
-    """All pairs of a small node that lie in different components and may reach the threshold."""
+def _near(low: float):
+    """Members of a small node that may reach the threshold with a member of another component; at
+    most as many rows as came in."""
 
     def run(table: pa.Table) -> pa.Table:
-        cid, comp = np.asarray(table["cid"]), np.asarray(table["comp"])
+        comp = np.asarray(table["comp"])
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCH)
-        found = [np.empty((0, 2), np.int64)]
-        for i in range(len(cid) - 1):
-            hit = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((sketch[i + 1 :] == sketch[i]).mean(axis=1) >= low))
-            found.append(np.column_stack([np.minimum(cid[i], cid[hit]), np.maximum(cid[i], cid[hit])]))
-        pairs = np.concatenate(found)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        found = np.zeros(len(comp), bool)
+        for i in range(len(comp) - 1):
+            hit = (comp[i + 1 :] != comp[i]) & ((sketch[i + 1 :] == sketch[i]).mean(axis=1) >= low)
+            found[i + 1 :] |= hit
+            found[i] |= hit.any()
+        return table.select(["node", "cid", "comp"]).filter(pa.array(found))
+
+    return run
+
+
+def overlaps(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, as products of their incidence matrix taken
+    some columns at a time."""
+    n = len(sizes)
+    found = np.diag(sizes.astype(np.float32))
+    _, column, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = counts[column] > 1  # what only one set holds is on the diagonal alone
+    found -= np.diag(np.bincount(np.repeat(np.arange(n), sizes)[shared], minlength=n).astype(np.float32))
+    row = np.repeat(np.arange(n), sizes)[shared]
+    _, column = np.unique(column[shared], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = 2048
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (first, first + width))
+        part = np.zeros((n, width), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        found += part @ part.T
+    return found
+
+
+def _join(share: float):
+    """Links of a small node that join different components, confirmed on the full sets; a link
+    between components that others of the node join already is left out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        cid, comp = table["cid"].to_pylist(), table["comp"].to_pylist()
+        hashes, sizes = shingle_sets([unpack.decompress(x) for x in table["packed"].to_pylist()])
+        common = overlaps(hashes, sizes)
+        similar = 100 * common >= round(share * 100) * (sizes[:, None] + sizes[None, :] - common)
+        root = {c: c for c in comp}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = []
+        for i, j in np.argwhere(np.triu(similar, 1)).tolist():
+            x, y = find(comp[i]), find(comp[j])
+            if x != y:
+                root[x] = y
+                found.append((cid[i], cid[j]))
+        return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
     return run
 
@@ -254,14 +306,11 @@ def linked(df: DataFrame, share: float = 0.8) -> DataFrame:
     texts = shared_table(spark, wanted.join(texts, "doc_id").select("cid", "print", "packed").mapInArrow(_same_print, "cid long, packed binary"), "texts")
     sketches = classes.join(likely, "cid").select("cid", "sketch")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        x, y = texts.toDF("a", "packed_a"), texts.toDF("b", "packed_b")
-        return shared_table(spark, pairs.join(x, "a").join(y, "b").select("a", "b", "packed_a", "packed_b").mapInArrow(_confirm(share), "a long, b long"), name)
-
     # Each class with the leaders of its nodes.
     stars = met.filter("cid <> head").selectExpr("least(cid, head) AS a", "greatest(cid, head) AS b").distinct()
     stars = stars.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b").mapInArrow(_similar(low), "a long, b long")
-    links = confirmed(stars, "links")
+    both = stars.join(texts.toDF("a", "packed_a"), "a").join(texts.toDF("b", "packed_b"), "b").select("a", "b", "packed_a", "packed_b")
+    links = shared_table(spark, both.mapInArrow(_confirm(share), "a long, b long"), "links")
     comps = shared_table(spark, components(links), "components")
 
     # Nodes that still hold different components.
@@ -278,11 +327,12 @@ def linked(df: DataFrame, share: float = 0.8) -> DataFrame:
     else:
         # What no depth has split is dealt out in blocks and compared pair of blocks by pair of blocks.
         small.append(_in_blocks(member))
-    pairs = small[0]
+    mixed = small[0]
     for more in small[1:]:
-        pairs = pairs.union(more)
-    pairs = pairs.groupBy("node").applyInArrow(_compare(low), "a long, b long").distinct()
-    links = links.union(confirmed(pairs, "links"))
+        mixed = mixed.union(more)
+    near = mixed.groupBy("node").applyInArrow(_near(low), "node long, cid long, comp long")
+    joins = near.join(texts, "cid").select("node", "cid", "comp", "packed").groupBy("node").applyInArrow(_join(share), "a long, b long")
+    links = links.union(shared_table(spark, joins.distinct(), "links"))
     comps = shared_table(spark, components(links), "components")
 
     least = classes.select("cid", "print", "rep").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
