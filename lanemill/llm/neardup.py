@@ -40,8 +40,11 @@ TREES, SKETCH = 16, 128
 MIN_NODES = 4
 #: Leaders of a node: different orders of the classes, one for each tree modulo this.
 LEADERS = 4
-#: Nodes up to this size are compared exhaustively; larger ones branch, up to a depth.
-SMALL, DEPTH = 512, 12
+#: Nodes up to this size, and up to so many shingles, are compared exhaustively; larger ones
+#: branch, up to a depth.
+SMALL, SMALL_SHINGLES, DEPTH = 4096, 4 << 20, 12
+#: Shingles in up to so many sets of a node are counted pair by pair, others by matrix products.
+RARE, WIDTH = 16, 2048
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 5.0
 _FACTORS = mix(np.arange(1, TREES + SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -190,7 +193,7 @@ def _branch(depth: int, share: float):
                 at = (mix(draw)[rows] % np.uint64(SKETCH)).astype(np.int64)
                 child = mix(draw[rows] + sketch[rows, at].astype(np.uint64))
                 part = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(part.column(c) for c in ("cid", "comp", "sketch"))], ["node", "cid", "comp", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(part.column(c) for c in ("cid", "comp", "sketch", "n"))], ["node", "cid", "comp", "sketch", "n"])
 
     return run
 
@@ -213,23 +216,32 @@ def _near(low: float):
 
 
 def overlaps(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, as products of their incidence matrix taken
-    some columns at a time."""
+    """Sizes of the intersections of all pairs of sets."""
     n = len(sizes)
-    found = np.diag(sizes.astype(np.float32))
     _, column, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    shared = counts[column] > 1  # what only one set holds is on the diagonal alone
-    found -= np.diag(np.bincount(np.repeat(np.arange(n), sizes)[shared], minlength=n).astype(np.float32))
-    row = np.repeat(np.arange(n), sizes)[shared]
-    _, column = np.unique(column[shared], return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    width = 2048
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, (first, first + width))
-        part = np.zeros((n, width), np.float32)
-        part[row[a:b], column[a:b] - first] = 1
+    row, often = np.repeat(np.arange(n, dtype=np.int64), sizes), counts[column]
+    found = np.zeros((n, n), np.float32)
+    # Rare columns: the few pairs of each, one distance in the column after the other.
+    few = np.flatnonzero((often > 1) & (often <= RARE))
+    few = few[np.argsort(column[few], kind="stable")]
+    for step in range(1, RARE):
+        few_now = np.flatnonzero(column[few[step:]] == column[few[:-step]]) if step < len(few) else few[:0]
+        if not len(few_now):
+            break
+        pairs = row[few[few_now]] * n + row[few[few_now + step]]
+        found += np.bincount(pairs, minlength=n * n).reshape(n, n).astype(np.float32)
+    found += found.T
+    # Frequent columns: products of the incidence matrix, some columns at a time.
+    many = np.flatnonzero(often > RARE)
+    _, place = np.unique(column[many], return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    row, place = row[many][order], place[order]
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, WIDTH):
+        a, b = np.searchsorted(place, (first, first + WIDTH))
+        part = np.zeros((n, WIDTH), np.float32)
+        part[row[a:b], place[a:b] - first] = 1
         found += part @ part.T
+    np.fill_diagonal(found, sizes)
     return found
 
 
@@ -242,7 +254,6 @@ def _join(share: float):
         cid, comp = table["cid"].to_pylist(), table["comp"].to_pylist()
         hashes, sizes = shingle_sets([unpack.decompress(x) for x in table["packed"].to_pylist()])
         common = overlaps(hashes, sizes)
-        similar = 100 * common >= round(share * 100) * (sizes[:, None] + sizes[None, :] - common)
         root = {c: c for c in comp}
 
         def find(x: int) -> int:
@@ -252,11 +263,13 @@ def _join(share: float):
             return x
 
         found = []
-        for i, j in np.argwhere(np.triu(similar, 1)).tolist():
-            x, y = find(comp[i]), find(comp[j])
-            if x != y:
-                root[x] = y
-                found.append((cid[i], cid[j]))
+        for i in range(len(cid)):
+            own = common[i, i + 1 :]
+            for j in (i + 1 + np.flatnonzero(100 * own >= round(share * 100) * (sizes[i] + sizes[i + 1 :] - own))).tolist():
+                x, y = find(comp[i]), find(comp[j])
+                if x != y:
+                    root[x] = y
+                    found.append((cid[i], cid[j]))
         return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
     return run
@@ -291,7 +304,7 @@ def linked(df: DataFrame, share: float = 0.8) -> DataFrame:
     docs = df.select("doc_id", "text")
     described_as = "doc_id long, n_shingles long, print binary, trees binary, sketch binary"
     rows = shared_table(spark, docs.mapInArrow(_describe, described_as), "described")
-    classes = rows.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("trees").alias("trees"), F.first("sketch").alias("sketch"))
+    classes = rows.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("trees").alias("trees"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
     classes = shared_table(spark, classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     # First nodes of all trees; what stands alone in its node is dropped.
@@ -304,26 +317,27 @@ def linked(df: DataFrame, share: float = 0.8) -> DataFrame:
     texts = docs.filter("doc_id IS NOT NULL").mapInArrow(_packed, "doc_id long, packed binary")
     wanted = classes.join(likely, "cid").select("cid", "print", F.col("rep").alias("doc_id"))
     texts = shared_table(spark, wanted.join(texts, "doc_id").select("cid", "print", "packed").mapInArrow(_same_print, "cid long, packed binary"), "texts")
-    sketches = classes.join(likely, "cid").select("cid", "sketch")
+    sketches = classes.join(likely, "cid").select("cid", "sketch", "n")
 
     # Each class with the leaders of its nodes.
     stars = met.filter("cid <> head").selectExpr("least(cid, head) AS a", "greatest(cid, head) AS b").distinct()
-    stars = stars.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b").mapInArrow(_similar(low), "a long, b long")
+    stars = stars.join(sketches.toDF("a", "sketch_a", "n_a"), "a").join(sketches.toDF("b", "sketch_b", "n_b"), "b").drop("n_a", "n_b").mapInArrow(_similar(low), "a long, b long")
     both = stars.join(texts.toDF("a", "packed_a"), "a").join(texts.toDF("b", "packed_b"), "b").select("a", "b", "packed_a", "packed_b")
     links = shared_table(spark, both.mapInArrow(_confirm(share), "a long, b long"), "links")
     comps = shared_table(spark, components(links), "components")
 
     # Nodes that still hold different components.
-    member = met.select("node", "cid").join(sketches, "cid").join(comps, "cid", "left").select("node", "cid", F.coalesce("comp", "cid").alias("comp"), "sketch")
+    member = met.select("node", "cid").join(sketches, "cid").join(comps, "cid", "left").select("node", "cid", F.coalesce("comp", "cid").alias("comp"), "sketch", "n")
     small: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
-        mixed = member.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("node", "size")
+        mixed = member.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        mixed = mixed.filter("low < high").select("node", ((F.col("size") <= SMALL) & (F.col("weight") <= SMALL_SHINGLES)).alias("small"))
         member = shared_table(spark, member.join(mixed, "node"), "members")
-        small.append(member.filter(F.col("size") <= SMALL).drop("size"))
-        member = member.filter(F.col("size") > SMALL).drop("size")
+        small.append(member.filter("small").drop("small"))
+        member = member.filter("NOT small").drop("small")
         if member.isEmpty():
             break
-        member = member.mapInArrow(_branch(depth, share), "node long, cid long, comp long, sketch binary")
+        member = member.mapInArrow(_branch(depth, share), "node long, cid long, comp long, sketch binary, n long")
     else:
         # What no depth has split is dealt out in blocks and compared pair of blocks by pair of blocks.
         small.append(_in_blocks(member))
@@ -343,11 +357,12 @@ def linked(df: DataFrame, share: float = 0.8) -> DataFrame:
 
 def _in_blocks(member: DataFrame) -> DataFrame:
     """Memberships of large nodes, copied to nodes of two blocks each, so that every pair meets."""
-    sizes = member.groupBy("node").count().select("node", F.ceil(F.col("count") * 2 / SMALL).alias("n"))
-    block = F.pmod(F.xxhash64("cid"), F.col("n"))
-    dealt = member.join(sizes, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    blocks_ = F.ceil(F.greatest(F.count(F.lit(1)) * 2.5 / SMALL, F.sum("n") * 2.5 / SMALL_SHINGLES))
+    sizes = member.groupBy("node").agg(blocks_.alias("blocks"))
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
+    dealt = member.join(sizes, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     node = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
-    return dealt.select(node.alias("node"), "cid", "comp", "sketch")
+    return dealt.select(node.alias("node"), "cid", "comp", "sketch", "n")
 
 
 def representatives(df: DataFrame, share: float = 0.8) -> DataFrame:
