@@ -37,7 +37,7 @@ def test_frames_and_batches(spark, tmp_path):
         if i % 2:
             (tmp_path / f"pcd/{i}.pcd").write_bytes(codecs.encode_pcd(np.array([[1.0, 0, 0]]), np.array([255])))
     (tmp_path / "poses/99.json").write_text(json.dumps({"frame_id": "nowhere", "x": 0, "y": 0, "z": 0, "q0": 0, "q1": 0, "q2": 0, "q3": 1}))
-    identity = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0]
+    identity = [1.0 if i % 5 == 0 else 0.0 for i in range(16)]
     transforms = spark.createDataFrame([("base_link", "pandar64_0", identity)], "target_frame string, source_frame string, m array<float>")
     found = jobs.frames_job(spark, *(str(tmp_path / n) for n in ("poses", "pcd", "pred")), transforms, str(tmp_path / "out"))
     clouds = {r.frame_idx: (r.x, r.intensity) for r in found["clouds"].collect()}
