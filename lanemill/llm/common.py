@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -71,6 +72,34 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows that a Python worker turns into Python objects at once.
+SLICE_ROWS = 1000
+
+
+def release() -> None:
+    """Hand memory that a task no longer needs back to the machine; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` over slices of the batches, so that a large batch is never held as objects as a whole;
+    memory is handed back at the end of the task."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield batch.slice(at, SLICE_ROWS)
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(sliced(batches))
+        release()
+
+    return wrapped
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

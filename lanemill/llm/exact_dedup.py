@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import documents, shared_folder, shared_table, shuffle_partitions, text_bytes
+from .common import documents, frugal, shared_folder, shared_table, shuffle_partitions, text_bytes
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes a trie may hold in one task before it spills a subtree.
-TRIE_BYTES = 192 << 20
+TRIE_BYTES = 96 << 20
 #: Bytes a map task combines before it hands on what it has.
-COMBINE_BYTES = 48 << 20
+COMBINE_BYTES = 24 << 20
 #: Each node and owner counts as so many bytes.
 NODE_BYTES = 400
 
@@ -220,8 +220,8 @@ def owners(df: DataFrame, carry_text: bool = True, trie_bytes: int = TRIE_BYTES)
     kept = [f for f in fields if carry_text or f.name != "text"]
     out = T.StructType(kept + [T.StructField("__lm_points", T.LongType()), T.StructField("__lm_count", T.LongType()), T.StructField("__lm_sha256", T.StringType())])
     spill_dir = shared_folder(df.sparkSession, "trie")
-    dealt = df.mapInArrow(_combine(to_arrow_schema(sent)), sent).repartition(shuffle_partitions(df), "__lm_len", "__lm_hash")
-    return dealt.mapInArrow(_own(to_arrow_schema(out), spill_dir, trie_bytes), out)
+    dealt = df.mapInArrow(frugal(_combine(to_arrow_schema(sent))), sent).repartition(shuffle_partitions(df), "__lm_len", "__lm_hash")
+    return dealt.mapInArrow(frugal(_own(to_arrow_schema(out), spill_dir, trie_bytes)), out)
 
 
 def deduplicate(df: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def decisions(df: DataFrame) -> DataFrame:
     hot = F.col("group_size") > max(1, total // 1000)
     heavy = own.filter(hot).select("text_sha256", F.struct("keep_id", "group_size").alias("heavy"))
     light = own.filter(~hot).select(F.col("text_sha256").alias("own_key"), F.struct("keep_id", "group_size").alias("light"))
-    rows = df.mapInArrow(_digests, "doc_id long, text_sha256 string").join(F.broadcast(heavy), "text_sha256", "left")
+    rows = df.mapInArrow(frugal(_digests), "doc_id long, text_sha256 string").join(F.broadcast(heavy), "text_sha256", "left")
     spread = F.when(F.col("heavy").isNull(), F.col("text_sha256")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")))
     both = rows.withColumn("own_key", spread).join(light, "own_key", "left")
     own = F.coalesce(F.col("heavy"), F.col("light"))

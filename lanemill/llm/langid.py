@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, text_bytes
+from .common import documents, fold, frugal, text_bytes
 
 #: Most labelled documents that fill one language's dictionary, and its size in bytes.
 SAMPLE_DOCS = 200
@@ -129,7 +129,7 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], keep: list[str]) -> D
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
     schema = f"{fields}, __lm_lang string, __lm_score double, __lm_margin double"
-    return df.select(*keep, F.col("text").alias("__lm_text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col("text").alias("__lm_text")).mapInArrow(frugal(run), schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

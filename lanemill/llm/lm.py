@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, fold, shared_folder, shuffle_partitions, text_bytes
+from .common import blocks, documents, fold, frugal, shared_folder, shuffle_partitions, text_bytes
 from .textkit import mix, word_hashes
 
 END, BEGIN = (np.uint64(x) for x in (0x51ED270B0A1F4C61, 0xC2B2AE3D27D4EB4F))
@@ -280,12 +280,12 @@ def train(df: DataFrame) -> Model:
     folder = shared_folder(spark, "lm")
     texts = df.select("text")
     n_hot = int(1 / HOT_SHARE)
-    words = texts.mapInArrow(_count_words(n), _WORDS).groupBy("shard")
+    words = texts.mapInArrow(frugal(_count_words(n)), _WORDS).groupBy("shard")
     found = words.applyInArrow(_own_words(folder, n_hot), "shard long, types long, tokens long, hot binary, hot_counts binary").collect()
     n_tokens, n_types = sum(r["tokens"] for r in found), sum(r["types"] for r in found)
     hot = [np.frombuffer(r["hot"], np.uint64)[np.frombuffer(r["hot_counts"], np.int64) > n_tokens * HOT_SHARE] for r in found]
     hot = np.sort(np.concatenate([*hot, [BEGIN]]).astype(np.uint64))
-    pairs = texts.mapInArrow(_count_pairs(n, hot), _PAIRS).groupBy("shard").applyInArrow(_own_pairs(folder, n), _PARTS)
+    pairs = texts.mapInArrow(frugal(_count_pairs(n, hot)), _PAIRS).groupBy("shard").applyInArrow(_own_pairs(folder, n), _PARTS)
     stats = pairs.groupBy("shard").applyInArrow(_own_stats(folder), "shard long, coc array<long>, pairs long, more long").collect()
     zero = np.zeros(KINDS, np.int64)
     pair_coc = sum((np.array(r["coc"]) for r in stats if r["shard"] < 0), zero)
@@ -360,7 +360,7 @@ def score(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     names = ["n_tokens", "n_known", "base_score", "score"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
-    return df.select(*keep, "text").mapInArrow(run, f"{fields}, n_tokens long, n_known long, base_score double, score double")
+    return df.select(*keep, "text").mapInArrow(frugal(run), f"{fields}, n_tokens long, n_known long, base_score double, score double")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, shared_table, text_bytes
+from .common import blocks, documents, frugal, release, shared_table, text_bytes
 from .textkit import mix, word_hashes
 
 SHINGLE = 5
@@ -42,7 +42,7 @@ MIN_NODES = 4
 LEADERS = 4
 #: Nodes up to this size, and up to so many shingles, are compared exhaustively; larger ones
 #: branch, up to a depth.
-SMALL, SMALL_SHINGLES, DEPTH = 4096, 4 << 20, 12
+SMALL, SMALL_SHINGLES, DEPTH = 4096, 2 << 20, 12
 #: Shingles in up to so many sets of a node are counted pair by pair, others by matrix products.
 RARE, WIDTH = 16, 2048
 #: Standard deviations by which an estimate may fall short of the threshold.
@@ -229,7 +229,7 @@ def overlaps(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         if not len(few_now):
             break
         pairs = row[few[few_now]] * n + row[few[few_now + step]]
-        found += np.bincount(pairs, minlength=n * n).reshape(n, n).astype(np.float32)
+        np.add.at(found.reshape(-1), pairs, np.float32(1))
     found += found.T
     # Frequent columns: products of the incidence matrix, some columns at a time.
     many = np.flatnonzero(often > RARE)
@@ -270,6 +270,8 @@ def _join(share: float):
                 if x != y:
                     root[x] = y
                     found.append((cid[i], cid[j]))
+        del common, hashes
+        release()
         return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
     return run
@@ -303,27 +305,27 @@ def linked(df: DataFrame, share: float = 0.8) -> DataFrame:
     low = share - SLACK * math.sqrt(share * (1 - share) / SKETCH)
     docs = df.select("doc_id", "text")
     described_as = "doc_id long, n_shingles long, print binary, trees binary, sketch binary"
-    rows = shared_table(spark, docs.mapInArrow(_describe, described_as), "described")
+    rows = shared_table(spark, docs.mapInArrow(frugal(_describe), described_as), "described")
     classes = rows.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("trees").alias("trees"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
     classes = shared_table(spark, classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     # First nodes of all trees; what stands alone in its node is dropped.
-    nodes = classes.select("cid", "trees").mapInArrow(_nodes, "node long, cid long, pick int")
+    nodes = classes.select("cid", "trees").mapInArrow(frugal(_nodes), "node long, cid long, pick int")
     mask = F.element_at(F.array(*map(F.lit, _MASKS)), F.col("pick") + 1)
     heads = nodes.groupBy("node", "pick").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("cid").bitwiseXOR(mask)).alias("least"))
     heads = heads.filter("size > 1").select("node", F.col("least").bitwiseXOR(mask).alias("head"))
     met = shared_table(spark, nodes.select("node", "cid").join(heads, "node"), "nodes")
     likely = met.groupBy("cid").count().filter(F.col("count") >= MIN_NODES).select("cid")
-    texts = docs.filter("doc_id IS NOT NULL").mapInArrow(_packed, "doc_id long, packed binary")
+    texts = docs.filter("doc_id IS NOT NULL").mapInArrow(frugal(_packed), "doc_id long, packed binary")
     wanted = classes.join(likely, "cid").select("cid", "print", F.col("rep").alias("doc_id"))
-    texts = shared_table(spark, wanted.join(texts, "doc_id").select("cid", "print", "packed").mapInArrow(_same_print, "cid long, packed binary"), "texts")
+    texts = shared_table(spark, wanted.join(texts, "doc_id").select("cid", "print", "packed").mapInArrow(frugal(_same_print), "cid long, packed binary"), "texts")
     sketches = classes.join(likely, "cid").select("cid", "sketch", "n")
 
     # Each class with the leaders of its nodes.
     stars = met.filter("cid <> head").selectExpr("least(cid, head) AS a", "greatest(cid, head) AS b").distinct()
-    stars = stars.join(sketches.toDF("a", "sketch_a", "n_a"), "a").join(sketches.toDF("b", "sketch_b", "n_b"), "b").drop("n_a", "n_b").mapInArrow(_similar(low), "a long, b long")
+    stars = stars.join(sketches.toDF("a", "sketch_a", "n_a"), "a").join(sketches.toDF("b", "sketch_b", "n_b"), "b").drop("n_a", "n_b").mapInArrow(frugal(_similar(low)), "a long, b long")
     both = stars.join(texts.toDF("a", "packed_a"), "a").join(texts.toDF("b", "packed_b"), "b").select("a", "b", "packed_a", "packed_b")
-    links = shared_table(spark, both.mapInArrow(_confirm(share), "a long, b long"), "links")
+    links = shared_table(spark, both.mapInArrow(frugal(_confirm(share)), "a long, b long"), "links")
     comps = shared_table(spark, components(links), "components")
 
     # Nodes that still hold different components.
@@ -337,7 +339,7 @@ def linked(df: DataFrame, share: float = 0.8) -> DataFrame:
         member = member.filter("NOT small").drop("small")
         if member.isEmpty():
             break
-        member = member.mapInArrow(_branch(depth, share), "node long, cid long, comp long, sketch binary, n long")
+        member = member.mapInArrow(frugal(_branch(depth, share)), "node long, cid long, comp long, sketch binary, n long")
     else:
         # What no depth has split is dealt out in blocks and compared pair of blocks by pair of blocks.
         small.append(_in_blocks(member))

@@ -33,7 +33,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, text_bytes
+from .common import blocks, documents, frugal, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations per text.
@@ -43,7 +43,7 @@ WIDE = 40
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 _BASE = 0x9E3779B97F4A7C15
 _SALT = np.uint64(0xD6E8FEB86659FD93)
-_CELLS = 3_000_000
+_CELLS = 1_500_000
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,7 @@ class Segmenter:
                 tie += 1
                 piece = [i] if i >= 0 else [self.v.byte_ids[b] for b in chunk[start].encode()]
                 heapq.heappush(heap, (-(best[start] + x + after), tie, start, x + after, (piece, path)))
-        if len(self.memo) > 50_000:
+        if len(self.memo) > 10_000:
             self.memo.clear()
         if len(chunk) <= 200:
             self.memo[chunk] = found
@@ -298,7 +298,7 @@ def segment(df: DataFrame, keep: list[str], n: int = N_BEST, model: str = MODEL)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
     schema = ", ".join([*fields, "__lm_ids array<int>, __lm_score double, __lm_others array<struct<score:double,swaps:array<struct<chunk:int,ids:array<int>>>>>"])
-    return df.select(*keep, F.col("text").alias("__lm_text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col("text").alias("__lm_text")).mapInArrow(frugal(run), schema)
 
 
 def decode(df: DataFrame, keep: list[str], column: str = "ids", model: str = MODEL) -> DataFrame:
@@ -315,7 +315,7 @@ def decode(df: DataFrame, keep: list[str], column: str = "ids", model: str = MOD
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, 1000) for c in keep), pa.array(texts, pa.string())], [*keep, "__lm_text"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
-    return df.select(*keep, F.col(column).alias("__lm_coded")).mapInArrow(run, ", ".join([*fields, "__lm_text string"]))
+    return df.select(*keep, F.col(column).alias("__lm_coded")).mapInArrow(frugal(run), ", ".join([*fields, "__lm_text string"]))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, fold, labels, text_bytes
+from .common import blocks, documents, fold, frugal, labels, text_bytes
 from .textkit import word_hashes
 
 #: Most labelled documents in the sample.
@@ -112,7 +112,7 @@ def featured(df: DataFrame, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in keep), pa.array(rows, pa.binary())], [*keep, "features"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
-    return df.select(*keep, "text").mapInArrow(run, f"{fields}, features binary")
+    return df.select(*keep, "text").mapInArrow(frugal(run), f"{fields}, features binary")
 
 
 def train(docs: DataFrame, marks: DataFrame, label: str = "quality", size: int = SAMPLE_DOCS) -> Model:
@@ -144,7 +144,7 @@ def score(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.float64())], [*keep, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
-    return df.select(*keep, "text").mapInArrow(run, f"{fields}, score double")
+    return df.select(*keep, "text").mapInArrow(frugal(run), f"{fields}, score double")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

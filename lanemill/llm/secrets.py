@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .automata import Rule, Scanner, compiled
-from .common import documents, text_bytes
+from .common import documents, frugal, text_bytes
 
 # The base rules.
 BASE = [
@@ -60,7 +60,7 @@ def scan(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], ["doc_id", "spans"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<start:long,kind:string,end:long>>")
+    return df.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, spans array<struct<start:long,kind:string,end:long>>")
 
 
 def joined(found: list[tuple[str, int, int]]) -> str:
@@ -80,4 +80,4 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, shas, texts], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return scan(documents(spark, sf_dir)).mapInArrow(run, schema)
+    return scan(documents(spark, sf_dir)).mapInArrow(frugal(run), schema)
