@@ -20,14 +20,18 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import documents, fold, frugal, text_bytes
 
 #: Most labelled documents that fill one language's dictionary, and its size in bytes.
 SAMPLE_DOCS = 200
 DICTIONARY_BYTES = 112 << 10
-#: Languages that are learned, by number of labelled documents.
-MAX_LANGUAGES = 256
+#: Each so many-th sampled row is held out of the dictionaries.
+HELD_OUT = 5
+#: Bytes of a piece of a text, at least; of a dictionary (the encoder takes no fewer); and of all
+#: dictionaries together: beyond 256 languages each gets an equal share.
+PIECE, LEAST_BYTES, ALL_BYTES = 256, 8, 28 << 20
 #: Texts are compressed in equal blocks of at most this many bytes.
 BLOCK = 4096
 LEVEL = 6
@@ -51,38 +55,70 @@ def letters(text: bytes) -> bytes:
     return " ".join(words).encode()
 
 
+def spread(text: bytes, size: int) -> bytes:
+    """``size`` bytes of a text in equal pieces from all over it; a shorter text as a whole."""
+    if len(text) <= size:
+        return text
+    n = max(1, size // PIECE)
+    return b"\n".join(text[k * len(text) // n :][: max(size // n - 1, 1)] for k in range(n))
+
+
 def fill(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """Pieces of all texts in turn, up to ``size`` bytes, so that one long text does not fill it."""
-    pieces, held, at = [], 0, 0
-    while held < size and any(at < len(t) for t in texts):
-        for t in texts:
-            piece = t[at : at + 2048]
-            pieces.append(piece)
-            held += len(piece)
-        at += 2048
-    return b"\n".join(p for p in pieces if p)[:size]
+    """Pieces of every text, up to ``size`` bytes: what short texts leave of their equal shares goes to the longer ones."""
+    room = share = size - len(texts)
+    for k, n in enumerate(sorted(map(len, texts))):
+        share = room // (len(texts) - k)
+        if n > share:
+            break
+        room -= n
+        share = size
+    found = b"\n".join(spread(t, max(share, 1)) for t in texts)[:size]
+    return found * -(-LEAST_BYTES // len(found)) if found else found
+
+
+def sampled(df: DataFrame, sample_docs: int) -> DataFrame:
+    """lang, place (from 0 in hashed order), languages (their number) and plain text of the sampled rows:
+    for each language those with letters and the smallest hashed ids, ``sample_docs`` for its dictionary
+    and a quarter more between them that no dictionary sees."""
+    rows = df.filter("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("doc_id", "lang", "text")
+    counts = rows.groupBy("lang").count()
+    counts = counts.select("lang", "count", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("languages"))
+    # A hash threshold per language keeps the expected sample at twice the bound before the exact cut.
+    most = sample_docs * HELD_OUT // (HELD_OUT - 1)
+    rank = F.xxhash64(F.lit(7), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))) / F.lit(2.0**64) + 0.5
+    few = rows.withColumn("rank", rank).join(F.broadcast(counts), "lang").filter(F.col("rank") * F.col("count") <= 2.0 * most + 20.0)
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [spread(letters(t), DICTIONARY_BYTES) for t in text_bytes(batch.column("text"))]
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()))
+
+    few = few.select("lang", "languages", "rank", "text").mapInArrow(frugal(plain), "lang string, languages long, rank double, text binary")
+    order = Window.partitionBy("lang").orderBy("rank", "text")
+    return few.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < most).select("lang", "languages", "place", "text")
+
+
+def learn(sample: DataFrame) -> dict[str, bytes]:
+    """Language to dictionary content; the dictionaries together stay within ``ALL_BYTES``."""
+
+    def one(table: pa.Table) -> pa.Table:
+        size = min(DICTIONARY_BYTES, max(LEAST_BYTES, ALL_BYTES // table.column("languages")[0].as_py()))
+        rows = sorted(zip(table.column("place").to_pylist(), table.column("text").to_pylist(), strict=True))
+        return pa.table({"lang": table.column("lang")[:1], "content": pa.array([fill([t for _, t in rows], size)], pa.binary())})
+
+    used = sample.filter(f"place % {HELD_OUT} <> {HELD_OUT - 1}")
+    return {r["lang"]: bytes(r["content"]) for r in used.groupBy("lang").applyInArrow(one, "lang string, content binary").collect()}
 
 
 def train(df: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """Language to dictionary content, from rows with text and lang; rows with the smallest hashed
-    ids are the sample, at most ``sample_docs`` of them for each language."""
-    rows = df.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return {}
-    # A hash threshold per language keeps the expected sample at twice the bound before the exact cut.
-    rank = F.xxhash64(F.lit(7), "doc_id") / F.lit(2.0**64) + 0.5
-    limits = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * sample_docs / r["count"] + 20.0 / r["count"])))])
-    few = rows.filter(rank < limits[F.col("lang")]).select("lang", rank.alias("rank"), "doc_id", F.substring("text", 1, 8192).alias("text"))
-    by: dict[str, list[tuple]] = {}
-    for r in few.collect():
-        by.setdefault(r["lang"], []).append((r["rank"], r["doc_id"] or 0, letters(r["text"].encode())))
-    return {lang: fill([t for _, _, t in sorted(by.get(lang, []))[:sample_docs]]) for lang in sorted(r["lang"] for r in counts)}
+    """Language to dictionary content, from rows with text and lang: every language that labels a
+    text with a letter, each from pieces of all its sampled rows."""
+    return learn(sampled(df, sample_docs))
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.langs = sorted(k for k, v in dictionaries.items() if len(v) >= 8)
+        self.langs = sorted(k for k, v in dictionaries.items() if len(v) >= LEAST_BYTES)
         self.by_level = {}
         for level in (LEVEL, SHORT_LEVEL):
             self.by_level[level] = []

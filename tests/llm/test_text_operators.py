@@ -211,6 +211,16 @@ def test_languages(spark, odd):
     assert langid.accepted(df.union(spark.createDataFrame([(500, None, "aa"), (501, "12 34", "bb")], df.schema))).filter("doc_id >= 500").count() == 0
 
 
+def test_every_sampled_row_and_every_language_enters_a_dictionary(spark):
+    texts = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x " * 4000 for k in range(160)]
+    found = langid.fill([langid.letters((t + "end").encode()) + t.encode() for t in texts])
+    assert len(found) <= langid.DICTIONARY_BYTES and all(t[:4].encode() in found for t in texts)
+    assert len(langid.fill([b"a" * 90_000, b"b" * 100])) > 80_000
+    docs = [(i, "7 " * 5000 + "kata lumi peto " * 30, "aa") for i in range(4)] + [(9, "o", "bb")] + [(100 + i, f"x{i}y", f"l{i:03}") for i in range(300)]
+    model = langid.train(spark.createDataFrame([*docs, (None, "zu zo", "null id")], DOC + ", lang string"))
+    assert len(model) == 303 and b"kata lumi peto" in model["aa"] and len(langid.Classifier(model).langs) == 303
+
+
 # --- op8 -------------------------------------------------------------------------------------
 
 
