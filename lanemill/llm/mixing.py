@@ -3,12 +3,14 @@
 Each source's documents are cut into blocks in a hashed order. A source with quota q of the Q
 slots of a frame gets, for its j-th block of a phase, release floor(j*Q/q) and deadline
 ceil((j+1)*Q/q); each slot takes the released block with the earliest deadline. So after any
-number of slots every source is within less than one block of its share. The schedule of a
-frame repeats, hence only one frame is scheduled, on the driver, and a block's slot follows
-from its number by arithmetic. When a source has no block left, a new phase begins with the
-quotas of the others; all documents are placed, none is dropped or repeated.
+number of slots every source is within less than one block of its share. The frame is longer
+than the run by a factor (``FINER``), so that rounding the weights to quotas moves no source by
+more than one block in as many, however long the run; only the slots that the run fills are
+scheduled, on the driver. When a source has no block left, a new phase begins with the quotas of
+the others; all documents are placed, none is dropped or repeated.
 
-Driver memory is bounded by the number of sources and the frame length, not by documents.
+The driver holds one number of 8 bytes for each block, half a byte a document; the slots travel
+to the rows as a broadcast of the same size.
 
 Defined cases: a null source is a source of its own; weights of unknown sources are ignored and
 sources without a weight, or with a weight that is not positive, come last in their natural
@@ -19,6 +21,8 @@ empty result; extra columns are carried, whatever their names.
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +32,10 @@ from .common import documents, shuffle_partitions
 
 #: Documents in a block.
 BLOCK_DOCS = 16
-#: Slots of a frame, at least.
-FRAME = 1000
+#: Slots of a frame, at least, and for each block of the run.
+FRAME, FINER = 1000, 4096
+#: Blocks of a source whose slots travel in one row.
+CHUNK = 1024
 #: Without target weights, a source's weight is its number of documents to this power.
 ALPHA = 0.7
 
@@ -45,17 +51,27 @@ def quotas(weights: dict[str, float], frame: int = FRAME) -> dict[str, int]:
     return found
 
 
+def due(quota: dict[str, int]) -> Iterator[str]:
+    """The source of each slot in turn: of the released blocks, the one with the earliest deadline."""
+    size = sum(quota.values())
+    done = dict.fromkeys(quota, 0)
+    pending, ready = [(0, s) for s in sorted(quota)], []
+    for t in range(size):
+        while pending and pending[0][0] <= t:
+            _, s = heapq.heappop(pending)
+            heapq.heappush(ready, (-(-(done[s] + 1) * size // quota[s]), s))
+        _, s = heapq.heappop(ready)
+        done[s] += 1
+        if done[s] < quota[s]:
+            heapq.heappush(pending, (done[s] * size // quota[s], s))
+        yield s
+
+
 def frame_slots(quota: dict[str, int]) -> dict[str, list[int]]:
     """The slots of one frame that each source's blocks get, earliest deadline first."""
-    size = sum(quota.values())
-    pending = sorted(((j * size // q, -(-(j + 1) * size // q), s) for s, q in quota.items() for j in range(q)), reverse=True)
     slots: dict[str, list[int]] = {s: [] for s in quota}
-    ready: list[tuple[int, str]] = []
-    for t in range(size):
-        while pending and pending[-1][0] <= t:
-            _, deadline, s = pending.pop()
-            heapq.heappush(ready, (deadline, s))
-        slots[heapq.heappop(ready)[1]].append(t)
+    for t, s in enumerate(due(quota)):
+        slots[s].append(t)
     return slots
 
 
@@ -63,8 +79,9 @@ def frame_slots(quota: dict[str, int]) -> dict[str, list[int]]:
 class Phase:
     base: int  # slots before this phase
     size: int  # slots of a frame
+    quota: dict[str, int]
     first: dict[str, int]  # blocks of each source before this phase
-    slots: dict[str, list[int]]
+    slots: dict[str, array]  # of each source's blocks in this phase
 
 
 def phases(blocks: dict[str, int], weights: dict[str, float], frame: int = FRAME) -> list[Phase]:
@@ -74,17 +91,20 @@ def phases(blocks: dict[str, int], weights: dict[str, float], frame: int = FRAME
     found, base = [], 0
     while left:
         wanted = {s: weights[s] for s in left if weights.get(s, 0) > 0} or {s: float(n) for s, n in left.items()}
-        quota = quotas(wanted, frame)
-        size, slots = sum(quota.values()), frame_slots(quota)
-        place = lambda s, j: j // quota[s] * size + slots[s][j % quota[s]]  # noqa: B023, E731
-        end = min(place(s, left[s] - 1) for s in quota) + 1
-        found.append(Phase(base, size, {s: done[s] for s in quota}, slots))
-        for s in quota:
-            used = end // size * quota[s] + sum(x < end % size for x in slots[s])
-            done[s] += used
-            left[s] -= used
+        n = sum(left.values())
+        # Releases and deadlines are computed in 64 bits, as products of a block's number and the frame.
+        quota = quotas(wanted, max(frame, n * max(1, min(FINER, 2**62 // n**2))))
+        phase = Phase(base, sum(quota.values()), quota, {s: done[s] for s in quota}, {s: array("q") for s in quota})
+        for t, s in enumerate(due(quota), base):
+            phase.slots[s].append(t)
+            if len(phase.slots[s]) == left[s]:
+                base = t + 1
+                break
+        for s, slots in phase.slots.items():
+            done[s] += len(slots)
+            left[s] -= len(slots)
+        found.append(phase)
         left = {s: n for s, n in left.items() if n > 0}
-        base += end
     return found
 
 
@@ -114,28 +134,35 @@ def schedule(df: DataFrame, weights: dict[str, float] | None = None, block_docs:
     else:
         wanted = {"null" if s is None else f"={s}": w for s, w in weights.items()}
     plan = phases({s: -(-n // block_docs) for s, n in totals.items()}, wanted, frame)
-    rows, ends = [], {}
-    for k, phase in reversed(list(enumerate(plan))):
+    rows = []
+    for k, phase in enumerate(plan):
         for s, slots in phase.slots.items():
-            rows.append((s, k, phase.first[s], ends.get(s, 1 << 62), phase.base, phase.size, slots))
-            ends[s] = phase.first[s]
-    table = spark.createDataFrame(rows, "p_source string, p_phase int, p_first long, p_end long, p_base long, p_size long, p_slots array<int>")
+            first, end = phase.first[s], phase.first[s] + len(slots)
+            for chunk in range(first // CHUNK, -(-end // CHUNK)):
+                low, high = max(first, chunk * CHUNK), min(end, (chunk + 1) * CHUNK)
+                rows.append((s, chunk, k, first, low, high, phase.base, phase.size, phase.quota[s], slots[low - first : high - first].tolist()))
+    del plan
+    table = spark.createDataFrame(
+        rows, "p_source string, p_chunk long, p_phase int, p_first long, p_low long, p_high long, p_base long, p_size long, p_quota long, p_slots array<long>"
+    )
     keyed.createOrReplaceTempView("__lm_keyed")
     numbered = spark.sql(
         "SELECT *, row_number() OVER (PARTITION BY __lm_source, __lm_bucket ORDER BY __lm_rank, doc_id) - 1 AS __lm_row FROM __lm_keyed"
     ).join(F.broadcast(before) if len(totals) * n_buckets < 100_000 else before, (F.col("s") == F.col("__lm_source")) & (F.col("b") == F.col("__lm_bucket")))
     index = F.col("before") + F.col("__lm_row")
     numbered = numbered.withColumn("__lm_block", (index / block_docs).cast("long")).withColumn("__lm_place", (index % block_docs).cast("int"))
-    on = (F.col("p_source") == F.col("__lm_source")) & (F.col("__lm_block") >= F.col("p_first")) & (F.col("__lm_block") < F.col("p_end"))
-    j, q = F.col("__lm_block") - F.col("p_first"), F.size("p_slots")
+    on = (F.col("p_source") == F.col("__lm_source")) & (F.col("p_chunk") == F.floor(F.col("__lm_block") / CHUNK))
+    on &= (F.col("__lm_block") >= F.col("p_low")) & (F.col("__lm_block") < F.col("p_high"))
+    released = "p_base + ((__lm_block - p_first) * p_size) div p_quota"
+    deadline = "p_base + ((__lm_block - p_first + 1) * p_size + p_quota - 1) div p_quota"
     return numbered.join(F.broadcast(table), on).select(
         *(F.col(c) for c in df.columns),
         "__lm_block",
         "__lm_place",
         F.col("p_phase").alias("__lm_phase"),
-        (F.col("p_base") + F.floor(j * F.col("p_size") / q)).alias("__lm_release"),
-        (F.col("p_base") + F.floor(j / q) * F.col("p_size") + F.element_at("p_slots", (j % q + 1).cast("int"))).alias("__lm_slot"),
-        (F.col("p_base") + F.ceil((j + 1) * F.col("p_size") / q)).alias("__lm_deadline"),
+        F.expr(released).alias("__lm_release"),
+        F.element_at("p_slots", (F.col("__lm_block") - F.col("p_low") + 1).cast("int")).alias("__lm_slot"),
+        F.expr(deadline).alias("__lm_deadline"),
     )
 
 

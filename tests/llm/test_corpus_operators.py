@@ -158,6 +158,28 @@ def test_frame_keeps_every_source_within_a_block():
                 assert abs(sum(x < t for x in slots[s]) - t * q / size) < 1
 
 
+@pytest.mark.parametrize(
+    "blocks, power",
+    [({"hot": 20_000, **{f"s{i}": 1_063 for i in range(40)}}, 0.7), ({f"z{i}": 40_000 // i for i in range(1, 302)}, 0.7), ({"large": 9_996, "small": 4}, 1.0)],
+)
+def test_whole_runs_stay_within_a_block_of_the_weights(blocks, power):
+    weights = {s: n**power for s, n in blocks.items()}
+    placed = dict.fromkeys(blocks, 0)
+    slots = 0
+    for phase in mixing.phases(blocks, weights):
+        total = sum(weights[s] for s in phase.slots)
+        n = sum(map(len, phase.slots.values()))
+        assert phase.base == slots and sorted(t for x in phase.slots.values() for t in x) == list(range(slots, slots + n))
+        for s, at in phase.slots.items():
+            share = weights[s] / total
+            for k, t in enumerate(at):  # the deviation is largest just before and just after a block
+                assert abs(k - (t - slots) * share) < 1.001 and abs(k + 1 - (t + 1 - slots) * share) < 1.001
+            assert abs(len(at) - n * share) < 1.001
+            placed[s] += len(at)
+        slots += n
+    assert placed == blocks
+
+
 def test_mix_places_every_row_once_and_on_time(spark, odd):
     rows = [(i, "src0" if i % 3 else f"src{i % 7}") for i in range(1500)] + [(None, None), (7, "src1"), (7, "src1")]
     df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("slot", F.lit("clash"))
