@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, fold, frugal, text_bytes
+from .common import documents, fold, frugal, shared_table, text_bytes
 
 #: Most labelled documents that fill one language's dictionary, and its size in bytes.
 SAMPLE_DOCS = 200
@@ -38,8 +38,9 @@ LEVEL = 6
 #: Blocks below this size get a more thorough search for matches, and are repeated up to it: the
 #: encoder stores what it cannot shorten, and would tell no language from another.
 SHORT, SHORT_LEVEL = 400, 9
-#: Margins below this reject a text.
-MIN_MARGIN = 0.001
+#: Margins below this share of what all but ``LOW`` of the rightly recognised held-out rows reach
+#: reject a text; without held-out rows only a tie does.
+SHARE, LOW, MIN_MARGIN = 0.3, 0.01, 0.001
 
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -178,8 +179,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def accepted(df: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """The rows of ``df`` whose language is found with a margin of ``min_margin`` or more; learns from
-    the labelled rows of ``df`` itself."""
-    found = predict(df, train(df), df.columns)
+def least_margin(sample: DataFrame, dictionaries: dict[str, bytes]) -> float:
+    """The margin below which a text is in no learned language, from the sampled rows that no dictionary saw."""
+    held_out = sample.filter(f"place % {HELD_OUT} = {HELD_OUT - 1}")
+    right = predict(held_out, dictionaries, ["lang"]).filter("lang = __lm_lang")
+    low = right.agg(F.percentile("__lm_margin", F.lit(LOW)).alias("low")).first()["low"]
+    return max(MIN_MARGIN, SHARE * (low or 0.0))
+
+
+def accepted(df: DataFrame, min_margin: float | None = None) -> DataFrame:
+    """The rows of ``df`` whose language is found with a margin of ``min_margin`` or more; learns the
+    languages, and the margin unless it is given, from the labelled rows of ``df`` itself."""
+    sample = shared_table(df.sparkSession, sampled(df, SAMPLE_DOCS), "languages")
+    dictionaries = learn(sample)
+    if min_margin is None:
+        min_margin = least_margin(sample, dictionaries)
+    found = predict(df, dictionaries, df.columns)
     return found.filter(f"__lm_lang <> 'und' AND __lm_margin >= {min_margin}").select(*df.columns)

@@ -221,6 +221,16 @@ def test_every_sampled_row_and_every_language_enters_a_dictionary(spark):
     assert len(model) == 303 and b"kata lumi peto" in model["aa"] and len(langid.Classifier(model).langs) == 303
 
 
+def test_texts_in_no_learned_language_are_rejected(spark):
+    rnd = random.Random(7)
+    stems = {"aa": ["kata", "lumi", "peto", "sora"], "bb": ["strov", "grazn", "vlok", "dremi"]}
+    docs = [(i, " ".join(rnd.choice(stems[lang]) + rnd.choice(stems[lang]) for _ in range(60)), lang) for i in range(200) for lang in [("aa", "bb")[i % 2]]]
+    noise = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    docs += [(1000 + i, noise((20, 100, 400)[i % 3]), None) for i in range(60)]
+    found = {r.doc_id for r in langid.accepted(spark.createDataFrame(docs, DOC + ", lang string")).collect()}
+    assert found == set(range(200))
+
+
 # --- op8 -------------------------------------------------------------------------------------
 
 
