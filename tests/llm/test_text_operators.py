@@ -174,6 +174,18 @@ def test_toxic_words_are_found_in_disguise(spark, odd):
     assert {r.score for r in toxicity.score(odd, toxicity.train(df, marks.limit(0)), ["doc_id"]).collect()} == {0.0}
 
 
+def test_disguises_next_to_signs_and_blanks(spark):
+    rnd = random.Random(3)
+    docs = [(i, prose(rnd, toxic=i % 4 == 0)) for i in range(200)]
+    marks = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    evidence = toxicity.Evidence(toxicity.train(spark.createDataFrame(docs, DOC), marks))
+    for bad in ("you i d i o t.", "i d i o t!", '"i d i o t"', "(i d i o t)", "i  d  i\to\nt", "m o r o n,", '"m.o.r.o.n"', "(m-o-r-o-n)", "iiddiioott", "mmoorroonn.", "i. d. i. o. t."):
+        assert evidence.score(bad) >= 0.5, bad
+    for fine in ("a b c", "- - - -", "! ! !", "the river. A garden", "(a)", "1 2 3 4", "((", "! " * 3000, "!" * 3000):
+        assert evidence.score(fine) < 0.5, fine
+    assert toxicity.spaced("s c u m.") == "s c u m" and toxicity.SPACED.search("you s c u m.")[0] == "s c u m."
+
+
 def test_viterbi_equals_the_best_of_all_readings():
     model = toxicity.CharacterModel.fit(Counter({"moron": 5, "stone": 9, "light": 4}))
 
