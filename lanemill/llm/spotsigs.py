@@ -2,7 +2,7 @@
 
 A spot is a common word (an anchor) with the chain of the two content words that follow it
 within a short window; common words in between are passed over. The set of a text's hashed
-spots is its fingerprint. Sets are compared by Jaccard similarity; sets whose lengths are too
+spots is its fingerprint. The query adds chains of three words where no spot covers a word. Sets are compared by Jaccard similarity; sets whose lengths are too
 far apart to reach a threshold are told apart by their length partition, or by the bound that
 the lengths set, before any element is compared.
 
@@ -16,6 +16,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,29 @@ def signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     )
 
 
+def covering(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the distinct signatures of column ``text`` as array ``out``: its spots, and a chain of
+    three words from each word where no spot starts there or at one of the two words before, so that
+    no word is left out; the last three words are a chain unless a spot starts there. A text of fewer
+    than three words is marked by its words as a whole."""
+    words, raw = f"{out}_words", f"{out}_raw"
+    anchor = lambda w: w.isin(ANCHORS)
+    chain = lambda i: F.slice(F.filter(F.slice(F.col(words), i + 2, REACH), lambda w: ~anchor(w)), 1, CHAIN)
+    spots = F.transform(F.col(words), lambda w, i: F.when(anchor(w), F.concat(F.array(w), chain(i))))
+    starts = lambda i: F.coalesce(F.size(F.get(F.col(raw), i)) == CHAIN + 1, F.lit(False))
+    last = F.size(words) - 3
+    mark = lambda w, i: F.when(starts(i), F.xxhash64(F.get(F.col(raw), i))).when(
+        (i == last) | ((i < last) & ~starts(i - 1) & ~starts(i - 2)), F.xxhash64(F.slice(F.col(words), i + 1, 3))
+    )
+    marks = F.filter(F.transform(F.col(words), mark), lambda x: x.isNotNull())
+    return (
+        df.withColumn(words, F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
+        .withColumn(raw, spots)
+        .withColumn(out, F.array_distinct(F.when(F.size(words) > 2, marks).otherwise(F.array(F.xxhash64(F.col(words))))))
+        .drop(words, raw)
+    )
+
+
 def fingerprint(signature: Column) -> Column:
     """The set of signatures as one string."""
     return F.sha2(F.array_join(F.transform(F.array_sort(signature), lambda s: F.hex(s)), ","), 256)
@@ -104,8 +128,8 @@ def leaders(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     return rows.select("doc_id", "print").join(found, "print").select("doc_id", F.coalesce("head", "rep").alias("leader_id"))
 
 
-def with_next(df: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) with their signatures ``sigs``, and ``next_text`` and ``next_sigs`` of the
+def with_next(df: DataFrame, mark: Callable[[DataFrame, str, str], DataFrame] = signatures) -> DataFrame:
+    """Rows (doc_id, text) with their signatures ``sigs`` by ``mark``, and ``next_text`` and ``next_sigs`` of the
     next document in descending doc_id; after the last comes the first.
 
     Ids are cut at quantiles into buckets; a window finds the next row in a bucket, and one row
@@ -122,8 +146,8 @@ def with_next(df: DataFrame) -> DataFrame:
     first = first.groupBy("bucket").agg(F.max("text").alias("text"))
     down = Window.orderBy(F.col("bucket").desc())
     passed = first.select("bucket", F.coalesce(F.lead("text").over(down), F.first("text").over(down)).alias("border_text"))
-    passed = signatures(passed, "border_text", "border_sigs")
-    dealt = signatures(base.repartition(n, "bucket"), "text", "sigs")
+    passed = mark(passed, "border_text", "border_sigs")
+    dealt = mark(base.repartition(n, "bucket"), "text", "sigs")
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     follows = dealt.withColumn("after_text", F.lead("text").over(order)).withColumn("after_sigs", F.lead("sigs").over(order))
     return follows.join(passed.hint("merge"), "bucket").select(
@@ -136,11 +160,11 @@ def with_next(df: DataFrame) -> DataFrame:
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(documents(spark, sf_dir).select("doc_id", "text")).withColumn("n_chars", F.length("text").cast("long"))
+    rows = with_next(documents(spark, sf_dir).select("doc_id", "text"), covering).withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     kept = F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - third)
     rows = rows.withColumn("edited", F.concat(kept, F.substring(F.col("next_text"), F.lit(1), third)))
-    rows = signatures(rows.select("doc_id", "n_chars", "edited", "sigs", "next_sigs"), "edited", "edited_sigs")
+    rows = covering(rows.select("doc_id", "n_chars", "edited", "sigs", "next_sigs"), "edited", "edited_sigs")
     return rows.select(
         "doc_id",
         "n_chars",

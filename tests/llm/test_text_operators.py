@@ -313,6 +313,32 @@ def test_signatures_and_next_documents(spark):
     assert spotsigs.with_next(odd).count() == 4
 
 
+def test_no_word_is_left_out_of_the_signatures(spark):
+    rnd = random.Random(9)
+    vocabulary = ["the", "of", "and", *(f"w{i}" for i in range(12))]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 30))) for _ in range(40)]
+    opening = "the river stone of light garden "
+    texts += [opening + " ".join(f"{k}{i}" for i in range(80)) for k in "xy"]
+    anchors = set(spotsigs.ANCHORS)
+
+    def expected(words):
+        starts = {}
+        for i, w in enumerate(words):
+            chain = [x for x in words[i + 1 : i + 1 + spotsigs.REACH] if x not in anchors][: spotsigs.CHAIN]
+            if w in anchors and len(chain) == spotsigs.CHAIN:
+                starts[i] = (w, *chain)
+        n = len(words)
+        chains = {tuple(words[i : i + 3]) for i in range(n - 2) if i not in starts and (i == n - 3 or not {i - 1, i - 2} & starts.keys())}
+        found = {*starts.values()} | chains if n > 2 else {tuple(words)}
+        assert all(any(w in x for x in found) for w in words)
+        return found
+
+    rows = spotsigs.covering(spark.createDataFrame(list(enumerate(texts)), DOC), "text", "sigs").withColumn("print", spotsigs.fingerprint(F.col("sigs"))).collect()
+    assert all(len(r.sigs) == len(expected(r.text.split())) for r in rows)
+    x, y = (next(r for r in rows if r.doc_id == i) for i in (40, 41))
+    assert x.print != y.print and len(set(x.sigs) & set(y.sigs)) < 0.1 * len(set(x.sigs) | set(y.sigs))
+
+
 def test_leaders_of_near_copies(spark):
     rnd = random.Random(1)
     base = [f"the word{i} thing{i}" for i in range(60)]
