@@ -62,9 +62,12 @@ def test_automaton_equals_re_on_other_grammar():
 
 
 def test_more_kinds_and_odd_rows(spark, odd):
-    text = "é ghp_" + "a" * 36 + " -----BEGIN RSA PRIVATE KEY----- "
-    rows = secrets.scan(spark.createDataFrame([(1, text)], DOC)).first().spans
-    assert [(s.kind, s.start) for s in rows] == [("github", 2), ("private_key", 43)]
+    end = " -----BEGIN RSA PRIVATE KEY----- "
+    rows = secrets.scan(spark.createDataFrame([(1, "é ghp_" + "aZ9" * 12 + end)], DOC)).first().spans
+    assert [(s.kind, s.start, s.end) for s in rows] == [("github", 2, 42), ("private_key", 43, 74)]
+    # A base span inside one of another kind stays.
+    rows = secrets.scan(spark.createDataFrame([(1, "é ghp_" + "a" * 36 + end)], DOC)).first().spans
+    assert [(s.kind, s.start, s.end) for s in rows] == [("github", 2, 42), ("hex", 6, 42), ("private_key", 43, 74)]
     assert secrets.scan(odd).count() == 8 and secrets.scan(odd.limit(0)).count() == 0
 
 
