@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -12,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where none is set (one-process tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """``spark.checkpoint.dir``, the folder that driver and executors share; a temporary folder only
+    where none is set and all runs in one process, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        known = spark.sparkContext.getCheckpointDir()  # the context adds a folder of its own below it
+        root = os.path.dirname(known) if known else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lanemill-")
         atexit.register(shutil.rmtree, folder, True)
         root = f"file://{folder}"
