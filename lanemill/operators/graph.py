@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from .joins import dealt_join, hot_keys
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of the edges (a, b); a component is named by its smallest id.
 
     Alternating large and small stars, a logarithmic number of rounds; each round is written. Minima
-    are combined before each shuffle, and the edges of a star's centre are dealt to many tasks."""
+    are combined before each shuffle; a centre's edges are two numbers each, and where they outgrow a
+    task, adaptive execution splits the joins."""
     stars = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
     seen = None
     while True:
@@ -22,11 +22,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = state
         sides = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sides.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size")
-        hot = hot_keys(low, "u", 2 * state[0])
-        large = dealt_join(sides, low.select("u", "m"), "u", hot).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size"))
-        small = dealt_join(large, low.select("u", "m"), "u", hot_keys(low, "u", state[0])).select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+        low = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = sides.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
         stars = materialise(small.filter("u <> v").distinct(), "stars")
     return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).union(stars.select("v", "v")).distinct()
 
