@@ -6,7 +6,6 @@ import atexit
 import ctypes
 import os
 import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, shared_root
+
 #: Bytes of text handled at once inside a Python worker.
 BLOCK_BYTES = 2 << 20
 
@@ -32,29 +33,9 @@ def fold(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Where ``spark.checkpoint.dir`` is unset (tests in one process), a temporary folder is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        known = spark.sparkContext.getCheckpointDir()
-        root = os.path.dirname(known) if known else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lanemill-")
-        atexit.register(shutil.rmtree, urlparse(root).path, True)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = f"{shared_root(spark)}/lanemill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if urlparse(path).scheme in ("", "file"):  # elsewhere the store's own expiry clears the folder
-        atexit.register(shutil.rmtree, unquote(urlparse(path).path), True)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialise(df, f"lanemill-{name}")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -3,8 +3,8 @@
 Documents are sets of five-word shingles. Each independent tree first puts a set into the node
 named by one of its minwise tokens; sets with Jaccard similarity J meet there with probability
 J. Nodes that are too large branch again by further minwise tokens, small ones are compared
-exhaustively, and independent trees are repeated until the target recall is met. Every link is
-confirmed on the full sets, re-read from the texts.
+exhaustively, and independent trees are repeated: ``plan`` takes as many as the target recall
+needs at the threshold. Every link is confirmed on the full sets, re-read from the texts.
 
 What keeps the work linear in large groups: equal sets are one class from the start, and in
 every node each class is first compared with a few leaders only. Links found this way join the
@@ -14,9 +14,11 @@ its components, so no link between components is lost and the many pairs of a gr
 listed.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing;
-fewer than five words count as one shingle; rows that repeat a text are one class; a row
-without an id joins its class, and the class is linked to others only if a row of it has an
-id; an empty table gives an empty result; other columns are neither used nor needed.
+fewer than five words count as one shingle; rows that repeat a text are one class; rows without
+an id are linked like all others, and a component of such rows only has the id null; ids may be
+numbers or strings and may repeat; an empty table gives an empty result; other columns are
+neither used nor needed. ``representatives`` keeps one row of each component, the one with the
+smallest id (null last, then by a hash of the text), whether ids repeat or are missing.
 """
 
 from __future__ import annotations
@@ -30,14 +32,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
+from ..operators.joins import dealt_join, hot_keys
 from .common import blocks, documents, frugal, release, shared_table, text_bytes
 from .textkit import mix, word_hashes
 
 SHINGLE = 5
-#: Independent trees, and sketch positions from which the similarity of two sets is estimated.
+#: Share of the links that may be missed by never meeting, by the trees' own arithmetic.
+MISS = 1e-6
+#: Independent trees at least, and sketch positions from which the similarity of two sets is estimated.
 TREES, SKETCH = 16, 128
-#: Classes that may share a link are in at least so many nodes with others (of one per tree).
-MIN_NODES = 4
 #: Leaders of a node: different orders of the classes, one for each tree modulo this.
 LEADERS = 4
 #: Nodes up to this size, and up to so many shingles, are compared exhaustively; larger ones
@@ -47,7 +51,6 @@ SMALL, SMALL_SHINGLES, DEPTH = 4096, 2 << 20, 12
 RARE, WIDTH = 16, 2048
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 5.0
-_FACTORS = mix(np.arange(1, TREES + SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _MASKS = [int(x) & 0x7FFFFFFFFFFFFFFF for x in mix(np.arange(LEADERS, dtype=np.uint64) + np.uint64(77))]
 
 
@@ -76,41 +79,68 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, np.empty(0, np.uint64)]), np.array([len(p) for p in parts], np.int64)
 
 
-def described(hashes: np.ndarray, sizes: np.ndarray) -> tuple[list, list, list]:
+def plan(share: float) -> tuple[int, int]:
+    """(trees, least): two sets of similarity ``share`` are in one first node in ``least`` or more of
+    so many trees, but for ``MISS`` of them. The number of such trees is binomial."""
+    trees = max(TREES, math.ceil(math.log(MISS) / math.log1p(-min(share, 1 - 1e-9))))
+    missed, least = 0.0, 0
+    while least < trees:
+        missed += math.comb(trees, least) * share**least * (1 - share) ** (trees - least)
+        if missed > MISS:
+            break
+        least += 1
+    return trees, max(least, 1)
+
+
+def set_print(hashes: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """128-bit prints of the sets that lie one after the other, none of them empty."""
+    one, two = mix(hashes ^ np.uint64(0x1F83D9ABFB41BD6B)), mix(hashes ^ np.uint64(0x5BE0CD19137E2179))
+    return np.column_stack([np.add.reduceat(one, begin), np.bitwise_xor.reduceat(two, begin) + sizes.astype(np.uint64)])
+
+
+def described(hashes: np.ndarray, sizes: np.ndarray, n_trees: int = TREES) -> tuple[list, list, list]:
     """Of each set: its 128-bit print, the minwise tokens of the trees, and its sketch."""
     full = np.flatnonzero(sizes)
     if not len(full):
         return [None] * len(sizes), [None] * len(sizes), [None] * len(sizes)
     begin = (np.cumsum(sizes) - sizes)[full]
-    one, two = mix(hashes ^ np.uint64(0x1F83D9ABFB41BD6B)), mix(hashes ^ np.uint64(0x5BE0CD19137E2179))
-    prints = np.column_stack([np.add.reduceat(one, begin), np.bitwise_xor.reduceat(two, begin) + sizes[full].astype(np.uint64)])
-    least = np.empty((len(full), len(_FACTORS)), np.uint64)
-    for k, factor in enumerate(_FACTORS):
+    prints = set_print(hashes, begin, sizes[full])
+    factors = mix(np.arange(1, n_trees + SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    least = np.empty((len(full), len(factors)), np.uint64)
+    for k, factor in enumerate(factors):
         least[:, k] = np.minimum.reduceat(hashes * factor, begin)
-    trees = mix(least[:, :TREES] + np.arange(TREES, dtype=np.uint64))
-    sketch = (mix(least[:, TREES:]) >> np.uint64(40)).astype(np.uint16)
+    trees = mix(least[:, :n_trees] + np.arange(n_trees, dtype=np.uint64))
+    sketch = (mix(least[:, n_trees:]) >> np.uint64(40)).astype(np.uint16)
     out: tuple[list, list, list] = ([None] * len(sizes), [None] * len(sizes), [None] * len(sizes))
     for i, k in enumerate(full):
         out[0][k], out[1][k], out[2][k] = prints[i].tobytes(), trees[i].tobytes(), sketch[i].tobytes()
     return out
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = text_bytes(batch.column("text"))
-        for a, b in blocks([len(t) for t in texts]):
-            hashes, sizes = shingle_sets(texts[a:b])
-            columns = [batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in described(hashes, sizes))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print", "trees", "sketch"])
+def _describe(n_trees: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch.column("text"))
+            for a, b in blocks([len(t) for t in texts]):
+                hashes, sizes = shingle_sets(texts[a:b])
+                own = [batch.column(c).slice(a, b - a) for c in ("doc_id", "key")]
+                columns = [*own, pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in described(hashes, sizes, n_trees))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "print", "trees", "sketch"])
+
+    return run
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nodes(n_trees: int):
     """A row for each class and tree: the node, and the number of the order that picks its leader."""
-    for batch in batches:
-        trees = np.frombuffer(b"".join(batch.column("trees").to_pylist()), np.int64)
-        cid = np.repeat(np.asarray(batch.column("cid")), TREES)
-        order = np.tile(np.arange(TREES, dtype=np.int32) % LEADERS, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(trees), pa.array(cid), pa.array(order)], ["node", "cid", "pick"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees = np.frombuffer(b"".join(batch.column("trees").to_pylist()), np.int64)
+            cid = np.repeat(np.asarray(batch.column("cid")), n_trees)
+            order = np.tile(np.arange(n_trees, dtype=np.int32) % LEADERS, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(trees), pa.array(cid), pa.array(order)], ["node", "cid", "pick"])
+
+    return run
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +150,19 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "packed"])
 
 
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed texts with the prints of their sets; texts without a word are left out."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        texts = text_bytes(batch.column("text"))
+        for a, b in blocks([len(t) for t in texts]):
+            hashes, sizes = shingle_sets(texts[a:b])
+            full = np.flatnonzero(sizes)
+            if len(full):
+                prints = set_print(hashes, (np.cumsum(sizes) - sizes)[full], sizes[full])
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in prints], pa.binary()), pa.array([pack.compress(texts[a + k]) for k in full], pa.binary())], ["print", "packed"])
+
+
 def _same_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts whose set is the class's: ids that stand for several texts are told apart here."""
     unpack = zstandard.ZstdDecompressor()
@@ -128,14 +171,9 @@ def _same_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = batch.column("print").to_pylist()
         for a, b in blocks([len(t) for t in texts]):
             hashes, sizes = shingle_sets(texts[a:b])
-            ends = np.cumsum(sizes)
-            keep = []
-            for i in range(a, b):
-                own = hashes[ends[i - a] - sizes[i - a] : ends[i - a]]
-                one, two = mix(own ^ np.uint64(0x1F83D9ABFB41BD6B)), mix(own ^ np.uint64(0x5BE0CD19137E2179))
-                found = np.array([np.add.reduce(one), np.bitwise_xor.reduce(two) + np.uint64(len(own))], np.uint64)
-                if found.tobytes() == wanted[i]:
-                    keep.append(i)
+            full = np.flatnonzero(sizes)
+            prints = set_print(hashes, (np.cumsum(sizes) - sizes)[full], sizes[full]) if len(full) else ()
+            keep = [a + k for k, p in zip(full.tolist(), prints, strict=True) if p.tobytes() == wanted[a + k]]
             yield batch.select(["cid", "packed"]).take(pa.array(keep, pa.int64()))
 
 
@@ -277,56 +315,55 @@ def _join(share: float):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(cid, comp) of every end of an edge (a, b): the smallest id that it is connected with.
-
-    Alternating large and small stars; every round is a written table, so lost executors cost no
-    more than their part of one round. Minima are combined before each shuffle."""
-    spark = edges.sparkSession
-    now = shared_table(spark, edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").filter("u <> v").distinct(), "edges")
-    last = None
-    while True:
-        mark = tuple(now.selectExpr("count(*)", "sum(cast(u as decimal(38, 0)))", "sum(cast(v as decimal(38, 0)))", "bit_xor(xxhash64(u, v))").first())
-        if mark == last or not mark[0]:
-            return now.selectExpr("u AS cid", "v AS comp").union(now.selectExpr("v AS cid", "v AS comp")).distinct().groupBy("cid").agg(F.min("comp").alias("comp"))
-        last = mark
-        both = now.union(now.selectExpr("v AS u", "u AS v"))
-        least = both.groupBy("u").agg(F.min("v").alias("w")).selectExpr("u", "least(u, w) AS m")
-        large = both.join(least, "u").filter("v > u").selectExpr("v AS u", "m AS v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").selectExpr("explode(array(struct(u, m AS v), struct(v AS u, m AS v))) AS e").select("e.*")
-        now = shared_table(spark, small.filter("u <> v").distinct(), "edges")
-
-
-def linked(df: DataFrame, share: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id linked, over any number of links)
-    of every row of ``df``; links are pairs of sets with Jaccard similarity ``share`` or more."""
-    spark = df.sparkSession
+def _classes(df: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, n_shingles, print) and classes (print, cid, comp, rep, head): equal sets are
+    a class, ``comp`` names its component, ``rep`` is its smallest id and ``head`` the row that comes
+    first. ``key`` is a hash of the text, by which rows with the same id are told apart."""
+    spark, kind = df.sparkSession, df.schema["doc_id"].dataType.simpleString()
     low = share - SLACK * math.sqrt(share * (1 - share) / SKETCH)
+    n_trees, min_nodes = plan(share)
     docs = df.select("doc_id", "text")
-    described_as = "doc_id long, n_shingles long, print binary, trees binary, sketch binary"
-    rows = shared_table(spark, docs.mapInArrow(frugal(_describe), described_as), "described")
-    classes = rows.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("trees").alias("trees"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
+    described_as = f"doc_id {kind}, key long, n_shingles long, print binary, trees binary, sketch binary"
+    rows = shared_table(spark, docs.withColumn("key", F.xxhash64("text")).mapInArrow(frugal(_describe(n_trees)), described_as), "described")
+    classes = rows.filter("print IS NOT NULL").groupBy("print").agg(
+        F.min("doc_id").alias("rep"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("head"),
+        F.first("trees").alias("trees"),
+        F.first("sketch").alias("sketch"),
+        F.first("n_shingles").alias("n"),
+    )
     classes = shared_table(spark, classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    total = classes.count() * n_trees
 
     # First nodes of all trees; what stands alone in its node is dropped.
-    nodes = classes.select("cid", "trees").mapInArrow(frugal(_nodes), "node long, cid long, pick int")
+    nodes = classes.select("cid", "trees").mapInArrow(frugal(_nodes(n_trees)), "node long, cid long, pick int")
     mask = F.element_at(F.array(*map(F.lit, _MASKS)), F.col("pick") + 1)
     heads = nodes.groupBy("node", "pick").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("cid").bitwiseXOR(mask)).alias("least"))
-    heads = heads.filter("size > 1").select("node", F.col("least").bitwiseXOR(mask).alias("head"))
-    met = shared_table(spark, nodes.select("node", "cid").join(heads, "node"), "nodes")
-    likely = met.groupBy("cid").count().filter(F.col("count") >= MIN_NODES).select("cid")
-    texts = docs.filter("doc_id IS NOT NULL").mapInArrow(frugal(_packed), "doc_id long, packed binary")
-    wanted = classes.join(likely, "cid").select("cid", "print", F.col("rep").alias("doc_id"))
-    texts = shared_table(spark, wanted.join(texts, "doc_id").select("cid", "print", "packed").mapInArrow(frugal(_same_print), "cid long, packed binary"), "texts")
+    heads = shared_table(spark, heads.filter("size > 1").select("node", "size", F.col("least").bitwiseXOR(mask).alias("head")), "heads")
+    crowded = hot_keys(heads, "node", total)
+    met = shared_table(spark, dealt_join(nodes.select("node", "cid"), heads.select("node", "head"), "node", crowded), "nodes")
+    likely = met.groupBy("cid").count().filter(F.col("count") >= min_nodes).select("cid")
+    wanted = classes.join(likely, "cid").select("cid", "print", "rep")
+    by_id = docs.filter("doc_id IS NOT NULL").mapInArrow(frugal(_packed), f"doc_id {kind}, packed binary")
+    # Rows that repeat an id and a text count once; the join has brought them together.
+    by_id = wanted.filter("rep IS NOT NULL").withColumnRenamed("rep", "doc_id").join(by_id, "doc_id").groupBy("doc_id", "cid", F.xxhash64("packed").alias("h"))
+    by_id = by_id.agg(F.first("print").alias("print"), F.first("packed").alias("packed")).select("cid", "print", "packed").mapInArrow(frugal(_same_print), "cid long, packed binary")
+    # A class without any id is found by its print; its texts are combined before they are shuffled.
+    by_print = docs.filter("doc_id IS NULL").select("text").mapInArrow(frugal(_printed), "print binary, packed binary").groupBy("print").agg(F.first("packed").alias("packed"))
+    by_print = wanted.filter("rep IS NULL").join(by_print, "print").select("cid", "packed")
+    texts = shared_table(spark, by_id.union(by_print), "texts")
     sketches = classes.join(likely, "cid").select("cid", "sketch", "n")
 
-    # Each class with the leaders of its nodes.
+    # Each class with the leaders of its nodes; a leader of many is dealt to many tasks.
     stars = met.filter("cid <> head").selectExpr("least(cid, head) AS a", "greatest(cid, head) AS b").distinct()
     stars = stars.join(sketches.toDF("a", "sketch_a", "n_a"), "a").join(sketches.toDF("b", "sketch_b", "n_b"), "b").drop("n_a", "n_b").mapInArrow(frugal(_similar(low)), "a long, b long")
-    both = stars.join(texts.toDF("a", "packed_a"), "a").join(texts.toDF("b", "packed_b"), "b").select("a", "b", "packed_a", "packed_b")
+    stars = shared_table(spark, stars, "stars")
+    n_stars = stars.count()
+    leading = {side: hot_keys(stars.groupBy(side).agg(F.count(F.lit(1)).alias("size")), side, n_stars) for side in "ab"}
+    both = dealt_join(stars, texts.toDF("a", "packed_a"), "a", leading["a"])
+    both = dealt_join(both, texts.toDF("b", "packed_b"), "b", leading["b"]).select("a", "b", "packed_a", "packed_b")
     links = shared_table(spark, both.mapInArrow(frugal(_confirm(share)), "a long, b long"), "links")
-    comps = shared_table(spark, components(links), "components")
+    comps = shared_table(spark, connected_components(links).toDF("cid", "comp"), "components")
 
     # Nodes that still hold different components.
     member = met.select("node", "cid").join(sketches, "cid").join(comps, "cid", "left").select("node", "cid", F.coalesce("comp", "cid").alias("comp"), "sketch", "n")
@@ -334,12 +371,13 @@ def linked(df: DataFrame, share: float = 0.8) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         mixed = member.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         mixed = mixed.filter("low < high").select("node", ((F.col("size") <= SMALL) & (F.col("weight") <= SMALL_SHINGLES)).alias("small"))
-        member = shared_table(spark, member.join(mixed, "node"), "members")
+        member = shared_table(spark, dealt_join(member, mixed, "node", crowded), "members")
         small.append(member.filter("small").drop("small"))
         member = member.filter("NOT small").drop("small")
         if member.isEmpty():
             break
         member = member.mapInArrow(frugal(_branch(depth, share)), "node long, cid long, comp long, sketch binary, n long")
+        crowded = hot_keys(member.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node", total)
     else:
         # What no depth has split is dealt out in blocks and compared pair of blocks by pair of blocks.
         small.append(_in_blocks(member))
@@ -349,12 +387,27 @@ def linked(df: DataFrame, share: float = 0.8) -> DataFrame:
     near = mixed.groupBy("node").applyInArrow(_near(low), "node long, cid long, comp long")
     joins = near.join(texts, "cid").select("node", "cid", "comp", "packed").groupBy("node").applyInArrow(_join(share), "a long, b long")
     links = links.union(shared_table(spark, joins.distinct(), "links"))
-    comps = shared_table(spark, components(links), "components")
+    comps = connected_components(links).toDF("cid", "comp")
+    found = classes.select("cid", "print", "rep", "head").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    return rows.select("doc_id", "key", "n_shingles", "print"), shared_table(spark, found, "components")
+
 
-    least = classes.select("cid", "print", "rep").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    own = least.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_class = least.join(own, "comp").select("print", "component_id")
-    return rows.select("doc_id", "n_shingles", "print").join(of_class, "print", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+def _of_rows(rows: DataFrame, of_class: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their class; rows without a word have none, and prints of many rows are
+    joined by dealing them out."""
+    full = rows.filter("print IS NOT NULL")
+    sizes = full.groupBy("print").agg(F.count(F.lit(1)).alias("size"))
+    found = dealt_join(full, of_class, "print", hot_keys(sizes, "print", rows.count()))
+    return found.unionByName(rows.filter("print IS NULL"), allowMissingColumns=True)
+
+
+def linked(df: DataFrame, share: float = 0.8) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id linked, over any number of links)
+    of every row of ``df``; links are pairs of sets with Jaccard similarity ``share`` or more."""
+    rows, classes = _classes(df, share)
+    own = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    of_class = classes.join(own, "comp").select("print", "component_id")
+    return _of_rows(rows, of_class).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _in_blocks(member: DataFrame) -> DataFrame:
@@ -368,9 +421,22 @@ def _in_blocks(member: DataFrame) -> DataFrame:
 
 
 def representatives(df: DataFrame, share: float = 0.8) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their near-duplicate group, with all columns."""
-    decided = linked(df, share).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lm_dropped")).distinct()
-    return df.join(decided, F.col("doc_id") == F.col("__lm_dropped"), "left_anti")
+    """One row of each near-duplicate group of ``df``, with all columns, and every row without a word.
+
+    Rows are told apart by id and text, so other texts that share an id with a dropped row stay."""
+    rows, classes = _classes(df, share)
+    first = classes.groupBy("comp").agg(F.min("head").alias("first"))
+    of_class = classes.join(first, "comp").select("print", "first")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    decided = _of_rows(rows, of_class).filter("print IS NOT NULL").withColumn("dropped", own != F.col("first"))
+    # Of each (id, text): dropped, or repeated so that one row of several is to stay.
+    decided = decided.groupBy(F.col("doc_id").alias("__lm_id"), F.col("key").alias("__lm_of")).agg(F.max("dropped").alias("__lm_dropped"), F.count(F.lit(1)).alias("n"))
+    decided = shared_table(df.sparkSession, decided.filter("__lm_dropped OR n > 1").drop("n"), "decided")
+    keyed = df.withColumn("__lm_key", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__lm_id")) & (F.col("__lm_key") == F.col("__lm_of"))
+    alone = keyed.join(decided, same, "left_anti")
+    several = keyed.join(decided.filter("NOT __lm_dropped"), same, "left_semi").dropDuplicates(["doc_id", "__lm_key"])
+    return alone.unionByName(several).select(*df.columns)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,6 +134,48 @@ def test_large_nodes_branch_and_lose_no_component(spark, monkeypatch):
     assert found == {d: c for d, (_, c) in plain_components(docs, 0.8).items()}
 
 
+def test_recall_near_the_threshold_with_deep_branching(spark, monkeypatch):
+    """Pairs just above the threshold in crowded nodes that branch to full depth; no block comparison."""
+    rnd, docs = random.Random(11), []
+    common = [f"c{i}" for i in range(30)]
+    for k in range(60):
+        own = [f"o{k}_{i}" for i in range(170)]
+        other = list(own)
+        for _ in range(3):
+            other[rnd.randrange(20, 150)] = f"x{k}_{rnd.random()}"
+        docs += [(2 * k, " ".join(common + own)), (2 * k + 1, " ".join(common + other))]
+    wanted = {d: c for d, (_, c) in plain_components(docs, 0.8).items()}
+    pairs = [d for d, c in wanted.items() if d != c]
+    assert len(pairs) > 50
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "DEPTH", 12)
+    found = {r.doc_id: r.component_id for r in neardup.linked(spark.createDataFrame(docs, DOC), 0.8).collect()}
+    assert sum(found[d] == wanted[d] for d in pairs) >= 0.9 * len(pairs)
+    assert all(found[d] in (d, wanted[d]) for d in found)
+
+
+def test_trees_follow_the_threshold():
+    import math
+
+    for share in (0.3, 0.5, 0.8, 0.85, 0.95, 1.0):
+        trees, least = neardup.plan(share)
+        missed = sum(math.comb(trees, k) * share**k * (1 - share) ** (trees - k) for k in range(least))
+        assert missed <= 1.01e-6 and 1 <= least <= trees
+    assert neardup.plan(0.3)[0] > neardup.plan(0.8)[0]
+
+
+def test_rows_are_dropped_not_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a + " tail"), (5, b), (5, b), (7, b), (None, c), (None, c + " tail"), (None, a + " end"), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, DOC)
+    kept = sorted((str(r.doc_id), (r.text or "")[:3]) for r in neardup.representatives(df).collect())
+    assert kept == [("1", "a0 "), ("5", "b0 "), ("None", ""), ("None", ""), ("None", "c0 ")]
+    by = sorted((str(r.doc_id), str(r.component_id)) for r in neardup.linked(df).collect())
+    assert by == sorted([("1", "1"), ("5", "1"), ("5", "5"), ("5", "5"), ("7", "5"), ("None", "1"), *[("None", "None")] * 4])
+    text_ids = df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert {r.component_id for r in neardup.linked(text_ids).collect()} == {"d1", "d5", None}
+
+
 def test_near_duplicates_on_odd_rows(spark, odd):
     by = {r.doc_id: r for r in neardup.linked(odd).collect()}
     assert by[1].component_id == 1 and by[None].component_id == 1  # equal words, other case
