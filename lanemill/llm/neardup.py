@@ -356,12 +356,12 @@ def _classes(df: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
 
     # Each class with the leaders of its nodes; a leader of many is dealt to many tasks.
     stars = met.filter("cid <> head").selectExpr("least(cid, head) AS a", "greatest(cid, head) AS b").distinct()
-    stars = stars.join(sketches.toDF("a", "sketch_a", "n_a"), "a").join(sketches.toDF("b", "sketch_b", "n_b"), "b").drop("n_a", "n_b").mapInArrow(frugal(_similar(low)), "a long, b long")
-    stars = shared_table(spark, stars, "stars")
-    n_stars = stars.count()
-    leading = {side: hot_keys(stars.groupBy(side).agg(F.count(F.lit(1)).alias("size")), side, n_stars) for side in "ab"}
-    both = dealt_join(stars, texts.toDF("a", "packed_a"), "a", leading["a"])
-    both = dealt_join(both, texts.toDF("b", "packed_b"), "b", leading["b"]).select("a", "b", "packed_a", "packed_b")
+    leading = hot_keys(heads.groupBy("head").agg(F.sum("size").alias("size")), "head", total)
+    for side in "ab":
+        stars = dealt_join(stars, sketches.select(F.col("cid").alias(side), F.col("sketch").alias(f"sketch_{side}")), side, leading.toDF(side))
+    both = stars.mapInArrow(frugal(_similar(low)), "a long, b long")
+    for side in "ab":
+        both = dealt_join(both, texts.toDF(side, f"packed_{side}"), side, leading.toDF(side))
     links = shared_table(spark, both.mapInArrow(frugal(_confirm(share)), "a long, b long"), "links")
     comps = shared_table(spark, connected_components(links).toDF("cid", "comp"), "components")
 
