@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lanemill.llm import automata, langid, lm, pieces, quality, secrets, spotsigs, textkit, toxicity
@@ -226,6 +227,26 @@ def test_languages(spark, odd):
     assert langid.accepted(df.union(spark.createDataFrame([(500, None, "aa"), (501, "12 34", "bb")], df.schema))).filter("doc_id >= 500").count() == 0
 
 
+def test_sizes_equal_the_plain_encoder_at_every_length():
+    rnd = random.Random(5)
+    stems = {"aa": ["kata", "lumi", "peto"], "bb": ["strov", "grazn", "vlok"]}
+    text = lambda lang, n: " ".join(rnd.choice(stems[lang]) + rnd.choice(stems[lang]) for _ in range(n)).encode()
+    found = {lang: langid.fill([text(lang, 50) for _ in range(20)]) for lang in stems}
+    model = langid.Classifier(found)
+    for n in (1, 2, 5, 30, 400, 3000):
+        plain = langid.letters(text("bb", n))
+        parts = max(1, -(-len(plain) // langid.BLOCK))
+        step = -(-len(plain) // parts)
+        for k, lang in enumerate(model.langs):
+            d = zstandard.ZstdCompressionDict(found[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            size = 0
+            for at in range(0, len(plain), step):
+                fresh = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+                size += len(fresh.compress(plain[at : at + step] + langid.FILLER))
+            assert abs(model.sizes(plain)[k] - size) <= 0.02 * size + 2
+        assert model(text("bb", n))[0] == "bb"
+
+
 def test_every_sampled_row_and_every_language_enters_a_dictionary(spark):
     texts = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x " * 4000 for k in range(160)]
     found = langid.fill([langid.letters((t + "end").encode()) + t.encode() for t in texts])
