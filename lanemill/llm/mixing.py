@@ -10,12 +10,14 @@ scheduled, on the driver. When a source has no block left, a new phase begins wi
 the others; all documents are placed, none is dropped or repeated.
 
 The driver holds one number of 8 bytes for each block, half a byte a document; the slots travel
-to the rows as a broadcast of the same size.
+to the rows as a broadcast of the same size. Larger blocks (``block_docs``) make it smaller: at a
+billion documents the default needs 500 MB, and blocks of 1024 documents 8 MB.
 
 Defined cases: a null source is a source of its own; weights of unknown sources are ignored and
 sources without a weight, or with a weight that is not positive, come last in their natural
-proportions; rows with the same id keep any order among themselves; an empty table gives an
-empty result; extra columns are carried, whatever their names.
+proportions; rows without an id are placed by a hash of their columns; rows with the same id keep
+any order among themselves; an empty table gives an empty result; extra columns are carried,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import documents, shuffle_partitions
+from .common import documents, shared_table, shuffle_partitions
 
 #: Documents in a block.
 BLOCK_DOCS = 16
@@ -108,9 +112,11 @@ def phases(blocks: dict[str, int], weights: dict[str, float], frame: int = FRAME
     return found
 
 
-def _hashed() -> Column:
-    """A number in [0, 1) from the id; rows without an id are spread by their place."""
-    return F.xxhash64(F.lit(11), F.coalesce(F.col("doc_id"), F.monotonically_increasing_id())) / F.lit(2.0**64) + 0.5
+def _hashed(df: DataFrame) -> Column:
+    """A number in [0, 1) from the id; rows without an id are spread by all that they hold. Two passes
+    over the same rows, or a repeated task, give the same numbers."""
+    others = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    return F.xxhash64(F.lit(11), F.when(F.col("doc_id").isNull(), others).otherwise(F.xxhash64("doc_id"))) / F.lit(2.0**64) + 0.5
 
 
 def schedule(df: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, frame: int = FRAME, alpha: float = ALPHA) -> DataFrame:
@@ -120,14 +126,11 @@ def schedule(df: DataFrame, weights: dict[str, float] | None = None, block_docs:
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     # The hashed order within a source, found by buckets so that no task holds a whole source.
     n_buckets = 4 * shuffle_partitions(df)
-    keyed = df.withColumn("__lm_source", key).withColumn("__lm_rank", _hashed())
+    keyed = df.withColumn("__lm_source", key).withColumn("__lm_rank", _hashed(df))
     keyed = keyed.withColumn("__lm_bucket", F.floor(F.col("__lm_rank") * n_buckets))
-    sizes = keyed.groupBy("__lm_source", "__lm_bucket").agg(F.count(F.lit(1)).alias("n"))
-    sizes.createOrReplaceTempView("__lm_bucket_sizes")
-    before = spark.sql(
-        "SELECT __lm_source AS s, __lm_bucket AS b, sum(n) OVER (PARTITION BY __lm_source ORDER BY __lm_bucket"
-        " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before FROM __lm_bucket_sizes"
-    )
+    sizes = shared_table(spark, keyed.groupBy("__lm_source", "__lm_bucket").agg(F.count(F.lit(1)).alias("n")), "buckets")
+    upto = Window.partitionBy("__lm_source").orderBy("__lm_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = sizes.select(F.col("__lm_source").alias("s"), F.col("__lm_bucket").alias("b"), (F.sum("n").over(upto) - F.col("n")).alias("before"))
     totals = {r["__lm_source"]: r["n"] for r in sizes.groupBy("__lm_source").agg(F.sum("n").alias("n")).collect()}
     if weights is None:
         wanted = {s: n**alpha for s, n in totals.items()}
@@ -145,10 +148,8 @@ def schedule(df: DataFrame, weights: dict[str, float] | None = None, block_docs:
     table = spark.createDataFrame(
         rows, "p_source string, p_chunk long, p_phase int, p_first long, p_low long, p_high long, p_base long, p_size long, p_quota long, p_slots array<long>"
     )
-    keyed.createOrReplaceTempView("__lm_keyed")
-    numbered = spark.sql(
-        "SELECT *, row_number() OVER (PARTITION BY __lm_source, __lm_bucket ORDER BY __lm_rank, doc_id) - 1 AS __lm_row FROM __lm_keyed"
-    ).join(F.broadcast(before) if len(totals) * n_buckets < 100_000 else before, (F.col("s") == F.col("__lm_source")) & (F.col("b") == F.col("__lm_bucket")))
+    within = Window.partitionBy("__lm_source", "__lm_bucket").orderBy("__lm_rank", "doc_id")
+    numbered = keyed.withColumn("__lm_row", F.row_number().over(within) - 1).join(F.broadcast(before) if len(totals) * n_buckets < 100_000 else before, (F.col("s") == F.col("__lm_source")) & (F.col("b") == F.col("__lm_bucket")))
     index = F.col("before") + F.col("__lm_row")
     numbered = numbered.withColumn("__lm_block", (index / block_docs).cast("long")).withColumn("__lm_place", (index % block_docs).cast("int"))
     on = (F.col("p_source") == F.col("__lm_source")) & (F.col("p_chunk") == F.floor(F.col("__lm_block") / CHUNK))
@@ -171,6 +172,23 @@ def mixed(df: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     return schedule(df, weights).repartitionByRange(shuffle_partitions(df), "__lm_slot", "__lm_place").sortWithinPartitions("__lm_slot", "__lm_place").select(*df.columns)
 
 
+def positioned(df: DataFrame) -> DataFrame:
+    """``df``, read from files that ``mixed`` rows were written to, with ``__lm_position``: the place of
+    each row in the mix, from 0. Files are numbered in the order of the mix and hold their rows in it;
+    rows that come from no file have no position (null)."""
+    try:
+        rows = df.select(*df.columns, F.col("_metadata.file_name").alias("__lm_file"), F.col("_metadata.row_index").alias("__lm_index"))
+    except AnalysisException:
+        return df.withColumn("__lm_position", F.lit(None).cast("long"))
+    number = F.regexp_extract("__lm_file", r"part-(\d+)", 1).try_cast("long")
+    # As many rows as files.
+    files = rows.groupBy("__lm_file").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy(number, "__lm_file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = files.select("__lm_file", (F.sum("n").over(upto) - F.col("n")).alias("__lm_begin"))
+    found = rows.join(F.broadcast(begins), "__lm_file")
+    return found.select(*df.columns, (F.col("__lm_begin") + F.col("__lm_index")).alias("__lm_position"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = schedule(documents(spark, sf_dir).select("doc_id", "source"))
     names = ("block", "place", "phase", "release", "slot", "deadline")

@@ -275,6 +275,13 @@ def test_pipeline_stages_against_brute_force(spark):
     near = {d for d, (_, c) in plain_components([(d, text_of[d]) for d in exact], 0.8).items() if d == c}
     assert {r[0] for r in kept["near_dedup"]} == near and len(near) < len(exact)
     assert sorted(kept["mixing"], key=str) == sorted(kept["near_dedup"], key=str)
+    # The last stage gives each document its place in the mix.
+    clean = spark.createDataFrame(kept["near_dedup"], "doc_id long, text string, lang string, source string, n_chars long")
+    due = sorted(mixing.schedule(clean).collect(), key=lambda r: (r["__lm_slot"], r["__lm_place"]))
+    position = docs.columns.index("mix_position")
+    assert [r[0] for r in sorted(kept["sentencepiece"], key=lambda r: r[position])] == [r.doc_id for r in due]
+    assert sorted(r[position] for r in kept["sentencepiece"]) == list(range(len(due)))
+    assert mixing.positioned(clean).filter("__lm_position IS NOT NULL").count() == 0
     s = pieces.Segmenter(pieces.load())
     place = docs.columns.index("ids")
     assert {r[0]: s.decode(r[place]) for r in kept["sentencepiece"]} == {d: text_of[d] for d in near}
