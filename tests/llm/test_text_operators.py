@@ -12,7 +12,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from lanemill.llm import automata, langid, lm, pieces, quality, secrets, spotsigs, textkit, toxicity
+from lanemill.llm import automata, hashtables, langid, lm, pieces, quality, secrets, spotsigs, textkit, toxicity
 
 DOC = "doc_id long, text string"
 
@@ -75,44 +75,89 @@ def test_more_kinds_and_odd_rows(spark, odd):
 # --- op1 -------------------------------------------------------------------------------------
 
 
-def test_model_equals_its_definition_and_sums_to_one(spark):
+def plain_model(train, order):
+    """P(word | two words before), from its definition over lists of tokens."""
+    padded = [[None, 0, *t] for t in train]
+    count = Counter(w for t in train for w in t)
+    triples = Counter(g for t in padded for g in zip(t, t[1:], t[2:], strict=False))
+    pairs = Counter()
+    for (u, v, w), c in triples.items():
+        pairs[v, w] += c if u is None or order == 2 else 1
+    if order == 2:
+        pairs = Counter(g for t in padded for g in zip(t[1:], t[2:], strict=False))
+    follows = Counter(w for _, w in pairs)
+    full = {g: c for g, c in triples.items() if g[0] is not None}
+    coc = lambda counts: [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+    d1, d2, d3 = (lm.discounts(coc(x.values())) for x in (follows, pairs, full))
+    of = [defaultdict(list), defaultdict(list)]
+    for (v, _), c in pairs.items():
+        of[0][v].append(c)
+    for (u, v, _), c in full.items():
+        of[1][u, v].append(c)
+    n = len(pairs)
+
+    def p(u, v, w):
+        x = max(follows[w] - d1[min(follows[w], 3)], 0) / n + sum(d1[min(c, 3)] for c in follows.values()) / n / (len(count) + 1)
+        for level, d, context, c in ((0, d2, v, pairs[v, w]), (1, d3, (u, v), full.get((u, v, w), 0))):
+            seen = of[level].get(context)
+            if seen and (level == 0 or order > 2):
+                x = max(c - d[min(c, 3)], 0) / sum(seen) + sum(d[min(k, 3)] for k in seen) / sum(seen) * x
+        return x
+
+    return count, pairs, p
+
+
+@pytest.mark.parametrize("order, split", [(3, False), (3, True), (2, False), (2, True)])
+def test_model_equals_its_definition_and_sums_to_one(spark, monkeypatch, order, split):
     rnd = random.Random(4)
     words = [f"w{i}" for i in range(12)]
     docs = [(i, " ".join(rnd.choice(words[: rnd.randint(1, 12)]) for _ in range(rnd.randint(0, 30)))) for i in range(60)] + [(60, None)]
+    docs += [(i, docs[i - 61][1]) for i in range(61, 66)]
     df = spark.createDataFrame(docs, DOC)
-    model = lm.train(df.filter("doc_id < 50"))
-    token = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + [None]
-    train = [token(t) for i, t in docs if i < 50]
-    count = Counter(w for t in train for w in t)
-    pairs = Counter(p for t in train for p in zip([0, *t[:-1]], t, strict=True))
-    follows = Counter(w for _, w in pairs)
-    context = defaultdict(lambda: [0, 0, 0, 0])
-    for (v, _), c in pairs.items():
-        context[v][0] += c
-        context[v][min(c, 3)] += 1
+    if split:  # many ranges, and most words are hot
+        monkeypatch.setattr(lm, "RANGE", 20)
+    model = lm.train(df.filter("doc_id < 50 OR doc_id > 60"), order)
+    assert not split or (model.per_shard > 5 and len(model.hot) > 3)
+    token = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + [-1]
+    train = [token(t) for i, t in docs if i < 50 or i > 60]
+    count, pairs, p = plain_model(train, order)
     n = sum(count.values())
     assert (model.n_tokens, model.n_types, model.n_pairs) == (n, len(count), len(pairs))
-    d1, d2 = model.word_discounts, model.pair_discounts
-    rest = sum(d1[min(c, 3)] for c in follows.values()) / len(pairs)
-    lower = lambda w: max(follows[w] - d1[min(follows[w], 3)], 0) / len(pairs) + rest / (len(count) + 1)
-
-    def p(v, w):
-        if v not in context:
-            return lower(w)
-        total, *kinds = context[v]
-        c = pairs[v, w]
-        return max(c - d2[min(c, 3)], 0) / total + sum(d * k for d, k in zip(d2[1:], kinds, strict=True)) / total * lower(w)
-
-    for v in [0, "w0", "w11", "unseen"]:
-        assert sum(p(v, w) for w in [*count, "unseen"]) == pytest.approx(1)
+    for u, v in [(None, 0), (0, "w0"), ("w0", "w1"), ("w11", "w0"), ("unseen", "w1"), ("w1", "unseen")]:
+        assert sum(p(u, v, w) for w in [*count, "unseen"]) == pytest.approx(1)
     found = {r.doc_id: r for r in lm.score(df, model, ["doc_id"]).collect()}
     for i, t in docs:
         t = token(t)
-        assert found[i].score == pytest.approx(sum(math.log10(p(v, w)) for v, w in zip([0, *t[:-1]], t, strict=True)))
+        assert found[i].score == pytest.approx(sum(math.log10(p(u, v, w)) for u, v, w in zip([None, 0, *t], [0, *t], t, strict=False)))
         assert found[i].base_score == pytest.approx(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (len(count) + 1))) for w in t))
         assert (found[i].n_tokens, found[i].n_known) == (len(t), sum(count[w] > 0 for w in t))
 
 
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    text = " ".join(f"w{i % 7}" for i in range(400)).encode()
+    whole = list(lm._pieces([text, b"a b"]))
+    monkeypatch.setattr(lm, "PIECE", 33)
+    parts = list(lm._pieces([text, b"a b"]))
+    grams = lambda pieces: sorted(tuple(map(int, s[k - 2 : k + 1])) for s, e in pieces for k in np.flatnonzero(e))
+    assert len(whole) == 1 and len(parts) > 10 and grams(parts) == grams(whole)
+
+
+def test_hash_tables_give_back_what_was_put_in(tmp_path):
+    rnd = np.random.default_rng(3)
+    writer, kept = hashtables.TableWriter(f"{tmp_path}/t", 2), {}
+    for segment, n in ((0, 5000), (2, 0), (3, 1)):
+        keys = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+        values = rnd.integers(0, 600, (2, len(keys)))
+        kept[segment] = keys, values
+        writer.add(segment, keys, *values)
+    writer.close()
+    table = hashtables.Table(f"{tmp_path}/t", 4, 2)
+    for segment, (keys, values) in kept.items():
+        assert (table.find(keys, np.full(len(keys), segment)) == values.T).all()
+    other = rnd.integers(0, 1 << 63, 5000).astype(np.uint64)
+    assert not table.find(other, rnd.integers(0, 4, 5000)).any()
+
+
 def test_model_of_nothing(spark, odd):
     model = lm.train(odd.limit(0))
     assert [r.score for r in lm.score(odd, model, ["doc_id"]).collect()] == [0.0] * 8
