@@ -102,20 +102,27 @@ def followers(counts: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers in as few bytes as their largest needs, compressed."""
+    """Arrays of whole numbers in as few bytes as their largest needs, compressed. Ascending ones are
+    kept as steps, and of all numbers first the lowest bytes, then the next ones."""
     parts = [bytes([len(arrays)])]
     for x in arrays:
-        kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype("u1")
-        parts += [bytes([kind.itemsize]), len(x).to_bytes(5, "little"), np.ascontiguousarray(x, kind).tobytes()]
+        x = np.ascontiguousarray(x).astype(np.uint64)
+        rising = len(x) > 1 and bool((x[1:] >= x[:-1]).all())
+        x = np.diff(x, prepend=np.uint64(0)) if rising else x
+        size = np.min_scalar_type(int(x.max(initial=0))).itemsize
+        planes = x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T
+        parts += [bytes([size, rising]), len(x).to_bytes(5, "little"), planes.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     data, at, found = zstandard.ZstdDecompressor().decompress(blob), 1, []
     for _ in range(data[0]):
-        size, n = data[at], int.from_bytes(data[at + 1 : at + 6], "little")
-        found.append(np.frombuffer(data, f"<u{size}", n, at + 6))
-        at += 6 + size * n
+        size, rising, n = data[at], data[at + 1], int.from_bytes(data[at + 2 : at + 7], "little")
+        planes = np.frombuffer(data, np.uint8, size * n, at + 7).reshape(size, n)
+        x = np.ascontiguousarray(planes.T).view(f"<u{size}").reshape(-1)
+        found.append(np.cumsum(x, dtype=np.uint64) if rising else x)
+        at += 7 + size * n
     return found
 
 
@@ -293,7 +300,7 @@ def _own_grams(folder: str, n: int, per_shard: int, hot: np.ndarray, order: int)
         rows.clear()
         words, place = np.unique(np.concatenate([p[0] for p in parts]).astype(np.uint64), return_inverse=True)
         offset = np.cumsum([0, *(len(p[0]) for p in parts)])
-        v = np.concatenate([place[k + np.repeat(p[1], p[2])] for k, p in zip(offset, parts, strict=False)]).astype(np.uint64)
+        v = np.concatenate([place[k + np.repeat(p[1].astype(np.int64), p[2].astype(np.int64))] for k, p in zip(offset, parts, strict=False)]).astype(np.uint64)
         u, w = (np.concatenate([place[k + p[i].astype(np.int64)] for k, p in zip(offset, parts, strict=False)]).astype(np.uint64) for i in (3, 4))
         counts = np.concatenate([p[5] for p in parts]).astype(np.int64)
         bits = np.uint64(max(1, (len(words) - 1).bit_length()))

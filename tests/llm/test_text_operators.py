@@ -142,6 +142,15 @@ def test_long_texts_are_counted_in_pieces(monkeypatch):
     assert len(whole) == 1 and len(parts) > 10 and grams(parts) == grams(whole)
 
 
+def test_packed_arrays_come_back():
+    rnd = np.random.default_rng(2)
+    for n in (0, 1, 2, 300):
+        for top in (1, 200, 70_000, 1 << 40, (1 << 64) - 1):
+            x = rnd.integers(0, top, n, dtype=np.uint64, endpoint=True)
+            found = lm.unpack(lm.pack(x, np.sort(x), np.zeros(n, np.int64)))
+            assert (found[0] == x).all() and (found[1] == np.sort(x)).all() and found[2].tolist() == [0] * n
+
+
 def test_hash_tables_give_back_what_was_put_in(tmp_path):
     rnd = np.random.default_rng(3)
     writer, kept = hashtables.TableWriter(f"{tmp_path}/t", 2), {}
