@@ -1,14 +1,18 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text becomes weighted counts of the shapes of its character triples (letter cases, digits,
-blanks and each punctuation mark), and of how often its words and lines repeat. The singular
-vectors of a bounded labelled sample span the latent space. The sample's latent vectors are
-broadcast; every document's cosines with all of them are computed exactly, in blocks, and the
-nearest neighbours vote with weights that grow with similarity.
+A text becomes weighted counts of its words and of the shapes of its character triples (letter
+cases, digits, blanks and each punctuation mark), and of how often its words and lines repeat.
+The singular vectors of a bounded labelled sample span the latent space. The sample's latent
+vectors are broadcast; every document's cosines with all of them are computed exactly, in
+blocks, and the nearest neighbours vote with weights that grow with similarity.
+
+Cosines are computed in double precision, in blocks of one size, and taken to nine digits, so a
+text's score does not depend on the texts that share its block.
 
 Defined cases: a null text counts as empty and gets the vote of the sample's texts nearest to
-the empty text; ties among neighbours are broken by the sample's order; with no labelled row
-every score is 0.5; repeated rows get equal scores; an empty table gives an empty result.
+the empty text; of neighbours with equal cosines the first in the sample's order (by id) count;
+with no labelled row every score is 0.5; repeated rows get equal scores; an empty table gives an
+empty result; a column to keep may have any name but ``score``.
 """
 
 from __future__ import annotations
@@ -27,13 +31,19 @@ from .textkit import word_hashes
 
 #: Most labelled documents in the sample.
 SAMPLE_DOCS = 6000
-#: Hashed shapes, latent dimensions, neighbours, and the power that turns similarity to weight.
-SHAPES, LATENT, NEIGHBOURS, POWER = 1024, 48, 25, 4
+#: Hashed shapes and words, latent dimensions, neighbours, and the power that turns similarity to weight.
+SHAPES, WORDS, LATENT, NEIGHBOURS, POWER = 1024, 1024, 64, 25, 4
 REPEATS = 12
+#: Texts whose cosines are computed at once, and the steps in which they are taken.
+ROWS, STEPS = 256, 10**9
 _SHAPE = np.array([ord("a") if 97 <= b < 123 or b >= 128 else ord("A") if 65 <= b < 91 else ord("0") if 48 <= b < 58 else b for b in range(256)], np.uint32)
 _SLOT = np.array([zlib.crc32(bytes([b])) & 0x7FFFFFFF for b in range(256)], np.int64)
 
 
+#: Features of a text.
+WIDTH = SHAPES + WORDS + 3 * REPEATS
+
+
 def _steps(share: np.ndarray) -> np.ndarray:
     """Shares in [0, 1] as soft one-hot rows, so that near shares stay near."""
     centres = np.linspace(0, 1, REPEATS)
@@ -41,10 +51,10 @@ def _steps(share: np.ndarray) -> np.ndarray:
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """Rows of damped shape counts followed by three soft one-hot groups, of unit length each."""
+    """Rows of damped shape counts, then word counts, then three soft one-hot groups; each of unit length."""
     n = len(texts)
     if not n:
-        return np.zeros((0, SHAPES + 3 * REPEATS), np.float32)
+        return np.zeros((0, WIDTH), np.float32)
     joined = b"\n\n".join(texts) + b"\n\n"
     data = np.frombuffer(joined, np.uint8)
     shape = _SLOT[_SHAPE[data]]
@@ -56,6 +66,9 @@ def features(texts: list[bytes]) -> np.ndarray:
     counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
     hashes, words = word_hashes(texts)
     ends = np.cumsum(words)
+    slot = np.repeat(np.arange(n), words) * WORDS + (hashes % np.uint64(WORDS)).astype(np.int64)
+    terms = np.sqrt(np.bincount(slot, minlength=n * WORDS).reshape(n, WORDS).astype(np.float32))
+    terms /= np.maximum(np.linalg.norm(terms, axis=1, keepdims=True), 1e-9)
     distinct, again, lines = np.ones(n), np.zeros(n), np.ones(n)
     for i in range(n):
         own = hashes[ends[i] - words[i] : ends[i]]
@@ -66,7 +79,7 @@ def features(texts: list[bytes]) -> np.ndarray:
         lines[i] = len(set(parts)) / len(parts)
     rest = np.concatenate([_steps(distinct), _steps(again), _steps(lines)], axis=1).astype(np.float32)
     rest /= np.linalg.norm(rest, axis=1, keepdims=True)
-    return np.concatenate([counts, rest], axis=1)
+    return np.concatenate([counts, terms, rest], axis=1)
 
 
 @dataclass
@@ -77,19 +90,23 @@ class Model:
     labels: np.ndarray
 
     def latent(self, x: np.ndarray) -> np.ndarray:
-        y = (x * self.weight) @ self.axes
-        return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+        """Unit vectors of at most ``ROWS`` texts; always computed in a full block."""
+        full = np.zeros((ROWS, x.shape[1]))
+        full[: len(x)] = x * self.weight
+        y = full @ self.axes
+        return y / np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-9)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        if not len(self.labels):
+        n = len(self.labels)
+        if not n:
             return np.full(len(x), 0.5)
-        found = np.empty(len(x))
-        k = min(NEIGHBOURS, len(self.labels))
-        for a in range(0, len(x), 256):
-            cosines = self.latent(x[a : a + 256]) @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weight = np.clip(np.take_along_axis(cosines, near, axis=1), 1e-3, 1).astype(np.float64) ** POWER
-            found[a : a + 256] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+        found, k, order = np.empty(len(x)), min(NEIGHBOURS, n), np.arange(n)
+        for a in range(0, len(x), ROWS):
+            cosines = np.rint((self.latent(x[a : a + ROWS]) @ self.vectors.T)[: len(x) - a] * STEPS)
+            # Cosine and order in one whole number, so that no two neighbours tie.
+            near = np.sort(np.argpartition(-(cosines.astype(np.int64) * n - order), k - 1, axis=1)[:, :k], axis=1)
+            weight = np.clip(np.take_along_axis(cosines, near, axis=1) / STEPS, 1e-3, 1) ** POWER
+            found[a : a + ROWS] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return np.clip(found, 0, 1)
 
 
@@ -119,21 +136,22 @@ def train(docs: DataFrame, marks: DataFrame, label: str = "quality", size: int =
     """Latent space and labelled vectors of a sample of at most ``size`` rows."""
     rows = featured(sample(docs, marks, label, size), ["doc_id", "label"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    width = SHAPES + 3 * REPEATS
     if not rows:
-        return Model(np.ones(width, np.float32), np.zeros((width, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
+        return Model(np.ones(WIDTH), np.zeros((WIDTH, 1)), np.zeros((0, 1)), np.zeros(0))
     x = np.stack([np.frombuffer(r["features"], np.float16) for r in rows]).astype(np.float32)
     seen = (x > 0).mean(axis=0)
-    weight = (1 + np.log(1 / np.maximum(seen, 1 / len(x)))).astype(np.float32)
-    y = x * weight
+    weight = 1 + np.log(1 / np.maximum(seen, 1 / len(x)))
+    y = x * weight.astype(np.float32)
     _, axes = np.linalg.eigh((y.T @ y).astype(np.float64))
-    model = Model(weight, np.ascontiguousarray(axes[:, ::-1][:, :LATENT], np.float32), np.zeros((0, 1), np.float32), np.array([float(r["label"]) for r in rows]))
-    model.vectors = model.latent(x)
+    model = Model(weight, np.ascontiguousarray(axes[:, ::-1][:, :LATENT]), np.zeros((0, 1)), np.array([float(r["label"]) for r in rows]))
+    model.vectors = np.concatenate([model.latent(x[a : a + ROWS])[: len(x) - a] for a in range(0, len(x), ROWS)])
     return model
 
 
 def score(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` and the ``score`` of each whole text; the model travels as a broadcast."""
+    if "score" in keep:
+        raise ValueError("a column to keep may not be named score")
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
