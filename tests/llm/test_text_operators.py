@@ -205,14 +205,32 @@ def test_quality_on_held_out_rows(spark, odd):
 
 def test_cosine_votes_equal_a_plain_search():
     rnd = np.random.default_rng(0)
-    x = rnd.random((40, quality.SHAPES + 3 * quality.REPEATS)).astype(np.float32)
-    model = quality.Model(np.ones(x.shape[1], np.float32), rnd.standard_normal((x.shape[1], 8)).astype(np.float32), np.zeros((0, 1)), rnd.integers(0, 2, 40).astype(float))
-    model.vectors = model.latent(x)
-    for row, got in zip(x[:5], model.score(x[:5]), strict=True):
-        cosine = model.vectors @ model.latent(row[None])[0]
-        near = sorted(range(40), key=lambda k: -cosine[k])[: quality.NEIGHBOURS]
+    x = rnd.random((60, quality.WIDTH)).astype(np.float32)
+    x[20:60] = x[np.arange(40) % 4]  # exact ties: the first ones count
+    model = quality.Model(np.ones(x.shape[1]), rnd.standard_normal((x.shape[1], 8)), np.zeros((0, 1)), rnd.integers(0, 2, 60).astype(float))
+    model.vectors = model.latent(x)[:60]
+    together = model.score(x)
+    for i, row in enumerate(x):
+        cosine = np.rint(model.vectors @ model.latent(row[None])[0] * quality.STEPS) / quality.STEPS
+        near = sorted(range(60), key=lambda k: (-cosine[k], k))[: quality.NEIGHBOURS]
         w = np.clip(cosine[near], 1e-3, 1) ** quality.POWER
-        assert got == pytest.approx((w * model.labels[near]).sum() / w.sum(), rel=1e-4)
+        assert together[i] == pytest.approx((w * model.labels[near]).sum() / w.sum())
+        assert model.score(row[None])[0] == together[i]  # alone or with others
+
+
+def test_quality_sees_words_and_a_text_alone_scores_as_in_a_batch(spark):
+    rnd = random.Random(5)
+    good, bad = (["".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(30)] for _ in range(2))
+    docs = [(i, " ".join(rnd.choice(good if i % 2 else bad) for _ in range(40))) for i in range(300)]  # same shapes, other words
+    df = spark.createDataFrame(docs, DOC)
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    model = quality.train(df, marks)
+    found = {r.doc_id: r.score for r in quality.score(df, model, ["doc_id"]).collect()}
+    assert all((found[i] >= 0.5) == bool(i % 2) for i in range(200, 300))
+    for i in (0, 1, 250):
+        assert model.score(quality.features([docs[i][1].encode()]))[0] == found[i]
+    with pytest.raises(ValueError):
+        quality.score(df.withColumn("score", F.lit(1)), model, ["score"])
 
 
 def test_toxic_words_are_found_in_disguise(spark, odd):
@@ -230,6 +248,9 @@ def test_toxic_words_are_found_in_disguise(spark, odd):
     assert all((found[i] >= 0.5) == (i % 4 == 0) for i in range(200))
     assert toxicity.score(odd, model, ["doc_id"]).count() == 8
     assert {r.score for r in toxicity.score(odd, toxicity.train(df, marks.limit(0)), ["doc_id"]).collect()} == {0.0}
+    assert evidence.score("x" * 300_000 + " idiot") >= 0.5 and evidence.score("l0" * 500) < 0.5  # very long tokens
+    one, other = (evidence.score(f"an {w}") for w in ("idiot", "moron"))
+    assert 1 > evidence.score("idiot moron") == pytest.approx(1 - (1 - one) * (1 - other)) > max(one, other) and min(one, other) >= 0.5
 
 
 def test_disguises_next_to_signs_and_blanks(spark):
