@@ -250,7 +250,8 @@ def test_toxic_words_are_found_in_disguise(spark, odd):
     assert {r.score for r in toxicity.score(odd, toxicity.train(df, marks.limit(0)), ["doc_id"]).collect()} == {0.0}
     assert evidence.score("x" * 300_000 + " idiot") >= 0.5 and evidence.score("l0" * 500) < 0.5  # very long tokens
     one, other = (evidence.score(f"an {w}") for w in ("idiot", "moron"))
-    assert 1 > evidence.score("idiot moron") == pytest.approx(1 - (1 - one) * (1 - other)) > max(one, other) and min(one, other) >= 0.5
+    both = evidence.score("idiot moron")
+    assert both == pytest.approx(1 - (1 - one) * (1 - other)) and 1 > both > max(one, other) and min(one, other) >= 0.5
 
 
 def test_disguises_next_to_signs_and_blanks(spark):
