@@ -175,7 +175,26 @@ def start_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reorder.start_points(adapters.embedding_lanes(spark, sf_dir), CLOSE)
 
 
-@query()
+# Point after point: from the last one, the cheapest of the points that are left and not behind, or the nearest.
+@query(f"""WITH RECURSIVE {LANES},
+n AS (SELECT a.lane_id, a.pos, (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z) AS sq,
+        a.dx*(b.x-a.x) + a.dy*(b.y-a.y) + a.dz*(b.z-a.z) AS along FROM l a JOIN l b ON a.lane_id = b.lane_id AND a.pos <> b.pos),
+c AS (SELECT lane_id, pos, CASE WHEN sqrt(sq) < 1e-6 THEN -1 ELSE along / sqrt(sq) END AS score FROM n WHERE sq <= 0.1 * 0.1),
+t AS (SELECT l.lane_id, l.pos, coalesce(sum(CASE WHEN score < -0.3 THEN 1 ELSE 0 END), 0) AS behind,
+        coalesce(sum(CASE WHEN score > 0 THEN 1 ELSE 0 END), 0) AS ahead FROM l LEFT JOIN c ON c.lane_id = l.lane_id AND c.pos = l.pos GROUP BY l.lane_id, l.pos),
+st AS (SELECT lane_id, pos FROM t QUALIFY row_number() OVER (PARTITION BY lane_id ORDER BY behind, ahead DESC, pos) = 1),
+wk AS (
+  SELECT lane_id, pos, CAST(0 AS BIGINT) AS place, [pos] AS used FROM st
+  UNION ALL
+  SELECT lane_id, pos, place, used FROM (
+    SELECT w.lane_id, b.pos, w.place + 1 AS place, list_append(w.used, b.pos) AS used,
+           (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z) AS sq,
+           a.dx*(b.x-a.x) + a.dy*(b.y-a.y) + a.dz*(b.z-a.z) AS along
+    FROM wk w JOIN l a ON a.lane_id = w.lane_id AND a.pos = w.pos JOIN l b ON b.lane_id = w.lane_id AND NOT list_contains(w.used, b.pos)) q
+  QUALIFY row_number() OVER (PARTITION BY lane_id ORDER BY
+    CASE WHEN sqrt(sq) < 1e-6 OR along / sqrt(sq) < -0.5 THEN 1 ELSE 0 END,
+    CASE WHEN sqrt(sq) < 1e-6 OR along / sqrt(sq) < -0.5 THEN sq ELSE sq / (along / sqrt(sq) + 1.1) END, pos) = 1)
+SELECT l.lane_id, l.type, l.explicit, w.place AS pos, l.x, l.y, l.z, l.dx, l.dy, l.dz FROM wk w JOIN l ON l.lane_id = w.lane_id AND l.pos = w.pos""")
 def reorder_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reorder.reorder_points(adapters.embedding_lanes(spark, sf_dir), CLOSE)
 
@@ -237,9 +256,21 @@ def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_candidates(polyline.endpoints(short_lanes(spark, sf_dir)), CLOSE).withColumn("score", rounded("score", 6))
 
 
-@query()
+# One pass over the candidates in order, with the ends that are taken so far.
+GREEDY = """, rk AS (SELECT *, row_number() OVER (ORDER BY score, id_a, front_a, id_b, front_b) AS k,
+    [CAST(id_a AS VARCHAR) || front_a, CAST(id_b AS VARCHAR) || front_b] AS es FROM cand),
+pass AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS taken, false AS ok
+  UNION ALL
+  SELECT rk.k, CASE WHEN list_has_any(taken, es) THEN taken ELSE list_concat(taken, es) END, NOT list_has_any(taken, es)
+  FROM pass JOIN rk ON rk.k = pass.k + 1),
+acc AS (SELECT rk.* FROM pass JOIN rk ON rk.k = pass.k WHERE ok)"""
+
+
+@query(f"WITH RECURSIVE {SHORT}{ENDS}{CANDIDATES}{GREEDY} SELECT id_a, front_a, id_b, front_b, round(score, 6) AS score FROM acc")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.greedy_matching(merge.merge_candidates(polyline.endpoints(short_lanes(spark, sf_dir)), CLOSE))
+    found = graph.greedy_matching(merge.merge_candidates(polyline.endpoints(short_lanes(spark, sf_dir)), CLOSE))
+    return found.withColumn("score", rounded("score", 6))
 
 
 @query(f"""WITH RECURSIVE {LANES}{FLOATS}, v AS (SELECT f.*, s.k FROM f JOIN (SELECT id, k, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS pos FROM s) s ON s.id = f.lane_id AND s.pos = f.pos),
@@ -253,7 +284,36 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected_components(pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b")))
 
 
-@query()
+# From the longest lane of each component along the links, behind it and then ahead of it.
+def _along(name: str, start: str, front: str, step: int, used: str) -> str:
+    return f""", {name} AS (
+  SELECT root, root AS lane, {front} AS at_front, CAST(0 AS INTEGER) AS place, false AS flipped, {used} AS used FROM {start}
+  UNION ALL
+  SELECT w.root, k.other, NOT k.other_front, w.place + ({step}), k.other_front <> {str(step > 0).lower()}, list_append(w.used, k.other)
+  FROM {name} w JOIN lk k ON k.lane = w.lane AND k.front = w.at_front AND NOT list_contains(w.used, k.other))"""
+
+
+CHAINS = (
+    """, lk AS (SELECT id_a AS lane, front_a AS front, id_b AS other, front_b AS other_front FROM acc
+  UNION ALL SELECT id_b, front_b, id_a, front_a FROM acc),
+rc AS (SELECT lane, other FROM lk UNION SELECT rc.lane, lk.other FROM rc JOIN lk ON lk.lane = rc.other),
+co AS (SELECT lane, least(lane, min(other)) AS component FROM rc GROUP BY lane),
+sp AS (SELECT lane_id, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS step
+  FROM l WINDOW w AS (PARTITION BY lane_id ORDER BY pos)),
+le AS (SELECT lane_id, coalesce(sum(step) FILTER (step <= 10), 0) AS length FROM sp GROUP BY lane_id),
+ro AS (SELECT arg_max(lane, length) AS root FROM co JOIN le ON le.lane_id = co.lane GROUP BY component)"""
+    + _along("wa", "ro", "false", 1, "[root]")
+    + """, us AS (SELECT root, arg_max(used, place) AS used FROM wa GROUP BY root)"""
+    + _along("wb", "us", "true", -1, "used")
+    + """, pd AS (SELECT root, lane, place, flipped FROM wa UNION ALL SELECT root, lane, place, flipped FROM wb WHERE place < 0),
+fs AS (SELECT lane_id, arg_min(type, pos) AS type, arg_min(explicit, pos) AS explicit FROM l GROUP BY lane_id)"""
+)
+
+
+@query(f"""WITH RECURSIVE {SHORT}{ENDS}{CANDIDATES}{GREEDY}{CHAINS}
+SELECT coalesce(root, l.lane_id) AS lane_id, fs.type, fs.explicit,
+       row_number() OVER (PARTITION BY coalesce(root, l.lane_id) ORDER BY coalesce(place, 0), CASE WHEN flipped THEN -pos ELSE pos END) - 1 AS pos,
+       x, y, z, dx, dy, dz FROM l LEFT JOIN pd ON pd.lane = l.lane_id JOIN fs ON fs.lane_id = coalesce(pd.root, l.lane_id)""")
 def merge_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_lanes(short_lanes(spark, sf_dir), CLOSE)
 
