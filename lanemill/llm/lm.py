@@ -579,3 +579,29 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity")
     )
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op1_lm_scoring`` that SQL can express."""
+    found = op1_lm_scoring(spark, sf_dir)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+LM_BASE_SQL = """
+WITH step AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+fold AS (
+  SELECT doc_id, text, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 5 = 1 AS held_out
+  FROM documents, step),
+d AS (
+  SELECT doc_id, held_out, unnest(list_append(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), chr(10))) AS token
+  FROM fold),
+c AS (SELECT token, count(*) AS c FROM d WHERE NOT held_out GROUP BY token),
+n AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, n AS train_tokens,
+       round(sum(log10((coalesce(c.c, 0) + CAST(0.5 AS DOUBLE)) / (n + CAST(0.5 AS DOUBLE) * (v + 1)))), 4) AS base_score
+FROM d LEFT JOIN c USING (token), n GROUP BY doc_id, held_out, n
+"""

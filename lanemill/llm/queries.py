@@ -15,9 +15,16 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_spotsigs": spotsigs.op9_spotsigs,
     "op10_mixing": mixing.op10_mixing,
+    # What SQL can express of the results above, to be held against it.
+    "lm_base_scores": lm.lm_base_scores,
+    "secret_base_counts": secrets.secret_base_counts,
+    "spotsigs_likeness": spotsigs.spotsigs_likeness,
 }
 
 ORACLES = {
+    "lm_base_scores": lm.LM_BASE_SQL,
+    "secret_base_counts": secrets.SECRET_BASE_SQL,
+    "spotsigs_likeness": spotsigs.SPOTSIGS_SQL,
     "op2_near_duplicates": neardup.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
 }

@@ -81,3 +81,18 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     return scan(documents(spark, sf_dir)).mapInArrow(frugal(run), schema)
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op3_secret_scan`` that SQL can express; it has no places of matches."""
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+SECRET_BASE_SQL = """
+SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''),
+    '(?i:(password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) AS BIGINT) AS n_hex
+FROM documents
+"""

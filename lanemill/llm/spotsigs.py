@@ -176,3 +176,35 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("sigs").cast("long").alias("n_signatures"),
         length_partition(F.col("sigs"), 0.8).alias("length_partition"),
     )
+
+
+def spotsigs_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op9_spotsigs`` that SQL can express: all but the hashed fingerprints."""
+    found = op9_spotsigs(spark, sf_dir)
+    near = [F.round(c, 6).alias(c) for c in ("near_edited", "near_next")]
+    return found.select("doc_id", "n_chars", "edited_sha256", *near, "n_signatures", "length_partition")
+
+
+SPOTSIGS_SQL = f"""
+WITH a AS (SELECT [{", ".join(f"'{w}'" for w in ANCHORS)}] AS anchors),
+t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(doc_id) OVER w, max(doc_id) OVER ()) AS next_id,
+        coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM t WINDOW w AS (ORDER BY doc_id DESC)),
+e AS (SELECT *, substr(text, 1, length(text) - length(text) // 3) || substr(next_text, 1, length(text) // 3) AS edited FROM n),
+bt AS (SELECT doc_id, 'text' AS kind, text FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e),
+w AS (SELECT doc_id, kind, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS words FROM bt),
+c AS (SELECT w.*, len(words) AS n, list_transform(range(1, len(words) + 1), lambda i: CASE WHEN list_contains(anchors, words[i])
+        THEN list_concat([words[i]], list_filter(words[i + 1:i + {REACH}], lambda x: NOT list_contains(anchors, x))[1:{CHAIN}]) END) AS chains FROM w, a),
+s AS (SELECT *, list_transform(chains, lambda x: CASE WHEN len(x) = {CHAIN + 1} THEN array_to_string(x, ' ') END) AS spots FROM c),
+m AS (SELECT doc_id, kind, CASE WHEN n < 3 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_filter(
+    list_transform(range(1, n + 1), lambda i: CASE WHEN spots[i] IS NOT NULL THEN spots[i]
+      WHEN i = n - 2 OR (i < n - 2 AND (i < 2 OR spots[i - 1] IS NULL) AND (i < 3 OR spots[i - 2] IS NULL)) THEN array_to_string(words[i:i + 2], ' ') END),
+    lambda x: x IS NOT NULL)) END AS sigs FROM s),
+j AS (SELECT e.doc_id, length(e.text) AS n_chars, sha256(edited) AS edited_sha256, x.sigs AS own, y.sigs AS other, z.sigs AS after
+  FROM e JOIN m x ON x.doc_id = e.doc_id AND x.kind = 'text' JOIN m y ON y.doc_id = e.doc_id AND y.kind = 'edited'
+  JOIN m z ON z.doc_id = e.next_id AND z.kind = 'text'),
+k AS (SELECT *, len(list_intersect(own, other)) AS p, len(list_intersect(own, after)) AS q FROM j)
+SELECT doc_id, n_chars, edited_sha256, round(p / (len(own) + len(other) - p), 6) AS near_edited, round(q / (len(own) + len(after) - q), 6) AS near_next,
+       CAST(len(own) AS BIGINT) AS n_signatures, CAST(floor(ln(len(own)) / -ln(CAST(0.8 AS DOUBLE))) AS INTEGER) AS length_partition
+FROM k
+"""
