@@ -57,10 +57,6 @@ def direction_score(direction: list[Column], at: list[Column], to: list[Column])
     return F.when(d < EPSILON, F.lit(-1.0)).otherwise(dot(direction, minus(to, at)) / d)
 
 
-def step_metric(d_sq: Column, score: Column) -> Column:
-    return d_sq / (score + 1.1)
-
-
 def normalise_theta(theta: Column) -> Column:
     """Angle modulo pi in [0, pi); infinite angles become null."""
     finite = ~theta.isin(float("inf"), float("-inf"))
@@ -108,13 +104,6 @@ def matrix_product(a: Column, b: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(15)), cell)
 
 
-def rigid_inverse(m: list[Column]) -> list[Column]:
-    """Inverse of a rigid transform: transposed rotation, turned-back translation."""
-    r = [m[0], m[4], m[8], m[1], m[5], m[9], m[2], m[6], m[10]]
-    t = [m[3], m[7], m[11]]
-    return rigid(r, [-(r[3 * i] * t[0] + r[3 * i + 1] * t[1] + r[3 * i + 2] * t[2]) for i in range(3)])
-
-
 def apply_matrix(m: list[Column], p: list[Column]) -> list[Column]:
     return [m[4 * i] * p[0] + m[4 * i + 1] * p[1] + m[4 * i + 2] * p[2] + m[4 * i + 3] for i in range(3)]
 

@@ -18,18 +18,28 @@ def explode_samples(df: DataFrame) -> DataFrame:
         df = df.select(*(F.col(f"`roadgraph_samples/{c}`").alias(c) for c in COLUMNS))
     rows = df.select(F.posexplode("id").alias("k", "id"), "xyz", "dir", "valid", "type", "explicit")
     at = lambda c, i: F.get(F.col(c), i)  # noqa: E731  null beyond the end
-    return rows.select(
+    found = rows.select(
         F.col("k").cast("long").alias("k"),
         "id",
         *(at(c, F.col("k")).alias(c) for c in ("valid", "type", "explicit")),
         *(at("xyz", F.col("k") * 3 + i).alias(n) for i, n in enumerate(("x", "y", "z"))),
         *(at("dir", F.col("k") * 3 + i).alias(n) for i, n in enumerate(("dx", "dy", "dz"))),
     )
+    if dict(found.dtypes)["explicit"] == "string":  # as files have it: what is no boolean ends the ingest
+        flag = F.lower("explicit").try_cast("boolean")
+        found = found.withColumn("bad", ~F.col("explicit").isin("true", "false")).withColumn("explicit", flag)
+    return found
 
 
 def keep_samples(samples: DataFrame, config: LaneConfig = LaneConfig()) -> DataFrame:
-    """Valid samples of lane types."""
-    return samples.filter((F.col("valid") == 1) & F.col("type").isin(*config.lane_types))
+    """Valid samples of lane types. A file is taken up to the first lane whose flag is no boolean: only a
+    lane's first sample gives its flag, so others do no harm."""
+    kept = samples.filter((F.col("valid") == 1) & F.col("type").isin(*config.lane_types))
+    if "bad" not in kept.columns:
+        return kept
+    first = kept.groupBy("id").agg(F.min_by(F.struct("k", "bad"), "k").alias("s"))
+    stop = first.filter("s.bad").agg(F.min("s.k").alias("stop")).select("stop").scalar()
+    return kept.filter(stop.isNull() | (F.col("k") < stop)).drop("bad")
 
 
 def to_lanes(samples: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import BatchConfig, FrameConfig, LaneConfig
-from ..operators import batching
+from ..operators import batching, present
 from ..sources import readers, writers
+from ..sources.layout import Layout
 from . import pipelines
 
 SNAPSHOTS = ("raw", "reordered", "trimmed", "merged")
@@ -30,15 +31,44 @@ def frames_job(spark: SparkSession, poses_path: str, pcd_path: str, predictions_
         writers.write_table(found[name], f"{out}/frames/{name}", "frame_idx")
         found[name] = spark.read.parquet(f"{out}/frames/{name}")
         writers.write_cloud_bin(found[name], f"{out}/lidar_seq_{k}.bin")
+    writers.write_cloud_files(found["predictions"], f"{out}/pred_frames", "frame_idx", "frame")
     return found
 
 
 def batches_job(spark: SparkSession, predictions: DataFrame, out: str, config: BatchConfig = BatchConfig()) -> DataFrame:
-    """Sliding batches of the converted predictions, one folder per batch; the target is replaced."""
+    """Sliding batches of the converted predictions, one folder and one file batch/batch_<n>.bin per batch;
+    both targets are replaced."""
     writers.write_table(batching.batches(predictions, config), f"{out}/batches", "batch_id")
-    return spark.read.parquet(f"{out}/batches")
+    found = spark.read.parquet(f"{out}/batches")
+    writers.write_cloud_files(found, f"{out}/batch", "batch_id", "batch")
+    return found
 
 
 def batch_file(batches: DataFrame, number: int, path: str) -> None:
     """One batch as a binary cloud, its frames one after the other."""
     writers.write_cloud_bin(batches.filter(batches.batch_id == number), path)
+
+
+def view(spark: SparkSession, layout: Layout) -> dict[str, DataFrame]:
+    """What a viewer shows of one index: lanes, clouds and batches by their topics, all relative to the
+    first lane point. Another index is another call; nothing of the last one is kept."""
+    found: dict[str, DataFrame] = {}
+    if readers.exists(spark, layout.lanes(0)):
+        lanes = readers.read_lane_sequence(spark, layout.out)
+        first = present.origin(lanes.filter("number = 0"))
+        found["lanes"] = pipelines.lane_topics(lanes, first)
+        if readers.exists(spark, layout.cloud(0)):
+            found["clouds"] = pipelines.cloud_topics(readers.read_lidar_sequence(spark, layout.out), first)
+        if readers.exists(spark, layout.batch(0)):
+            found["animation"] = present.rebase(readers.read_batch_sequence(spark, layout.batches), first).withColumnRenamed("number", "batch_id")
+    return found
+
+
+def run_all(spark: SparkSession, layout: Layout, transforms: DataFrame) -> dict[str, DataFrame]:
+    """Lanes, frames and batches of one index, from its files to its files, with counters."""
+    s = layout.settings
+    lanes = lanes_job(spark, layout.roadgraph, layout.out, s.lane)
+    frames = frames_job(spark, layout.poses, layout.pcd, layout.predictions, transforms, layout.out, s.frame)
+    batches = batches_job(spark, frames["predictions"], layout.out, s.batch)
+    poses = readers.read_poses(spark, layout.poses, s.frame.default_frame)
+    return {**lanes, **frames, "batches": batches, "lane_counters": pipelines.lane_counters(lanes), "frame_counters": pipelines.frame_counters(poses, transforms, s.frame)}

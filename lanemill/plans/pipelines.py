@@ -39,3 +39,28 @@ def viewer(flat: DataFrame, seq: int, toggles: DataFrame | None = None, first: D
     lanes = flat if toggles is None else present.toggled(flat, toggles)
     moved = present.rebase(lanes, present.origin(flat) if first is None else first)
     return present.lane_styles(present.lane_colours(moved)).withColumn("marker", F.concat(F.lit(f"seq_{seq}/"), F.col("lane_id").cast("string")))
+
+
+def lane_topics(lanes: DataFrame, first: DataFrame) -> DataFrame:
+    """Lane snapshots (number, lane_id, explicit, ...) as styled markers of the topics lane_viz/seq_<n>."""
+    moved = present.rebase(lanes, first)
+    seq = F.concat(F.lit("seq_"), F.col("number").cast("string"))
+    styled = present.lane_styles(present.lane_colours(moved))
+    return styled.withColumns({"topic": F.concat(F.lit("lane_viz/"), seq), "marker": F.concat(seq, F.lit("/"), F.col("lane_id").cast("string"))})
+
+
+def cloud_topics(clouds: DataFrame, first: DataFrame) -> DataFrame:
+    """Global clouds (number, ...) as the points of the topics lidar_viz/seq_<n>."""
+    return present.rebase(clouds, first).withColumn("topic", F.concat(F.lit("lidar_viz/seq_"), F.col("number").cast("string")))
+
+
+def lane_counters(snapshots: dict[str, DataFrame]) -> DataFrame:
+    """Lanes and points of each snapshot (name, lanes, points)."""
+    found = [df.agg(F.lit(name).alias("name"), F.countDistinct("lane_id").alias("lanes"), F.count(F.lit(1)).alias("points")) for name, df in snapshots.items()]
+    return transform.global_union(*found)
+
+
+def frame_counters(poses: DataFrame, transforms: DataFrame, config: FrameConfig = FrameConfig()) -> DataFrame:
+    """Frames with a pose, and those of them that could be converted (frames, converted)."""
+    done = transform.frame_matrices(poses, transforms, config).agg(F.count(F.lit(1)).alias("converted"))
+    return poses.agg(F.count(F.lit(1)).alias("frames")).withColumn("converted", done.select("converted").scalar())

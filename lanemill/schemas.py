@@ -12,5 +12,5 @@ CANDIDATES = "id_a int, front_a boolean, id_b int, front_b boolean, score double
 BATCHES = "batch_id int, frame_idx int, seq bigint, x float, y float, z float, intensity float"
 ROADGRAPH = (
     "`roadgraph_samples/id` array<int>, `roadgraph_samples/xyz` array<double>, `roadgraph_samples/dir` array<double>, "
-    "`roadgraph_samples/valid` array<int>, `roadgraph_samples/type` array<int>, `roadgraph_samples/explicit` array<boolean>"
+    "`roadgraph_samples/valid` array<int>, `roadgraph_samples/type` array<int>, `roadgraph_samples/explicit` array<string>"
 )

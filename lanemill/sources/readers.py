@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schemas
-from ..functions.geometry import stem_index
+from ..functions.geometry import normalise_theta, stem_index
 from . import codecs
 
 
@@ -29,7 +29,7 @@ def read_poses(spark: SparkSession, path: str, default_frame: str = "world") ->
 
 
 def _decoded(spark: SparkSession, path: str, pattern: str, rows_of: Callable[[bytes], pd.DataFrame], columns: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    files = spark.read.format("binaryFile").options(pathGlobFilter=pattern, recursiveFileLookup=True).load(path).select("path", "content")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -71,9 +71,51 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(rows).withColumnRenamed("intensity", "theta")
 
 
-def read_cloud_bin(spark: SparkSession, path: str, number: str = "frame_idx") -> DataFrame:
+def read_cloud_bin(spark: SparkSession, path: str, number: str = "frame_idx", pattern: str = "*.bin") -> DataFrame:
     """Cloud files (frames, global clouds, batches), all clusters together."""
-    return _numbered(_decoded(spark, path, "*.bin", lambda b: _cloud_rows(codecs.decode_cloud(b)), "seq long, x float, y float, z float, intensity float"), number)
+    return _numbered(_decoded(spark, path, pattern, lambda b: _cloud_rows(codecs.decode_cloud(b)), "seq long, x float, y float, z float, intensity float"), number)
+
+
+def read_lidar_sequence(spark: SparkSession, folder: str) -> DataFrame:
+    """The global clouds lidar_seq_0.bin, lidar_seq_1.bin, ... up to the first that is missing, their
+    intensity taken as an angle and brought to [0, pi)."""
+    rows = _in_sequence(spark, read_cloud_bin(spark, folder, "number", "lidar_seq_*.bin"), folder, "lidar_seq_")
+    return rows.withColumn("intensity", normalise_theta(F.col("intensity").cast("double")).cast("float"))
+
+
+def read_lane_sequence(spark: SparkSession, folder: str) -> DataFrame:
+    """The lane snapshots points_seq_0.bin, points_seq_1.bin, ... up to the first that is missing."""
+    rows = read_lane_bin(spark, folder).withColumnRenamed("seq", "number")
+    return _in_sequence(spark, rows, folder, "points_seq_")
+
+
+def read_batch_sequence(spark: SparkSession, folder: str) -> DataFrame:
+    """The batches batch_0.bin, batch_1.bin, ... up to the first that is missing."""
+    return _in_sequence(spark, read_cloud_bin(spark, folder, "number", "batch_*.bin"), folder, "batch_")
+
+
+def read_frame_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Converted frames frame_<i>.bin."""
+    return read_cloud_bin(spark, folder, pattern="frame_*.bin")
+
+
+def _in_sequence(spark: SparkSession, rows: DataFrame, folder: str, prefix: str) -> DataFrame:
+    # As many rows as files.
+    return rows.join(F.broadcast(sequence_files(spark, folder, prefix).select("number")), "number")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
+def tail_frames(spark: SparkSession, folder: str, dataset: str) -> DataFrame:
+    """Streaming (dataset, frame_idx) of the frame files that appear in a folder, for sliding batches."""
+    kind = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", "frame_*.bin").load(folder)
+    number = F.regexp_extract("path", r"frame_(\d+)\.bin$", 1).try_cast("int")
+    return files.select(F.lit(dataset).alias("dataset"), number.alias("frame_idx")).filter("frame_idx IS NOT NULL")
 
 
 def read_lane_bin(spark: SparkSession, path: str) -> DataFrame:
@@ -90,6 +132,6 @@ def read_lane_bin(spark: SparkSession, path: str) -> DataFrame:
 
 def sequence_files(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     """(number, path) of the files ``prefix``0.bin, ``prefix``1.bin, ... up to the first that is missing."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*.bin").load(path).select("path")
+    files = spark.read.format("binaryFile").options(pathGlobFilter=f"{prefix}*.bin", recursiveFileLookup=True).load(path).select("path")
     numbered = files.select(F.regexp_extract("path", rf"{prefix}(\d+)\.bin$", 1).try_cast("int").alias("number"), "path").filter("number IS NOT NULL")
     return numbered.withColumn("place", F.row_number().over(Window.orderBy("number")) - 1).filter("number = place").drop("place")

@@ -1,8 +1,9 @@
 """Sinks for the binary map formats. Parquet, partitioned by frame or batch, is the native default.
 
-A binary map is one file, so tasks write parts in order into a staging folder and the commit joins
-them behind the header; nothing but part names passes through the driver. The target must be a
-path that driver and executors share."""
+A binary map is one file, so tasks write parts in order into a staging folder, and the commit copies
+their bytes one after the other behind the header, in the driver. Files of single frames or
+batches are written whole by the task that has their points. The target must be a path that
+driver and executors share."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,6 +107,42 @@ def write_cloud_bin(cloud: DataFrame, path: str, order: tuple[str, ...] = ("fram
     rows.mapInPandas(run, "content binary, count long").write.format("map_bin").mode("append").option("header", "cloud").save(path)
 
 
+def write_cloud_files(cloud: DataFrame, folder: str, by: str, name: str, order: tuple[str, ...] = ("frame_idx", "seq")) -> int:
+    """One cloud file ``<name>_<value>.bin`` for each value of ``by``, points in ``order``; the folder is
+    emptied first. Returns the number of files. A task streams the points of its files in order and
+    gives a file its name when it is whole, so an attempt that is lost leaves no half of one."""
+    target = folder.removeprefix("file://")
+    shutil.rmtree(target, ignore_errors=True)
+    os.makedirs(target)
+    rows = cloud.repartition(by).sortWithinPartitions(by, *order).select(F.col(by).alias("of"), *(F.col(c).cast("float").alias(c) for c in ("x", "y", "z", "intensity")))
+
+    def run(frames):
+        of = out = own = None
+        count = 0
+
+        def finish():
+            out.seek(0)
+            out.write(struct.pack("<IiI", 1, 0, count))
+            out.close()
+            os.replace(own, f"{target}/{name}_{of}.bin")
+            return pd.DataFrame({"file": [f"{name}_{of}.bin"]})
+
+        for frame in frames:
+            for value, points in frame.groupby("of", sort=False):
+                if value != of:
+                    if out:
+                        yield finish()
+                    of, count, own = value, 0, f"{target}/.{uuid.uuid4().hex}"
+                    out = open(own, "wb")
+                    out.write(struct.pack("<IiI", 1, 0, 0))
+                out.write(codecs.encode_predictions(points[["x", "y", "z", "intensity"]].to_numpy()))
+                count += len(points)
+        if out:
+            yield finish()
+
+    return rows.mapInPandas(run, "file string").count()
+
+
 def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
     """Parquet, replaced as a whole; one folder per value of ``partition``."""
     writer = df.write.mode("overwrite")

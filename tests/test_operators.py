@@ -253,7 +253,7 @@ def test_streaming_state_equals_the_scan():
     rnd = random.Random(1)
     for _ in range(50):
         frames = [i for i in range(80) if rnd.random() < 0.6]
-        state, found = (0, -1, False, []), set()
+        state, found = streaming.START, set()
         for a in range(0, len(frames), 7):
             state, more = streaming.advance(state, frames[a : a + 7], config)
             found |= set(more)
