@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,9 @@ _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 _BASE = 0x9E3779B97F4A7C15
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 _CELLS = 1_500_000
+_LEAD = 20
+#: Distinct chunks that a worker remembers from one block of texts to the next.
+MEMORY = 250_000
 
 
 @dataclass(frozen=True)
@@ -71,6 +75,14 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary(tuple(pieces), tuple(scores), tuple(byte_ids), min(scores) - 10)
 
 
+class _Numbers(dict):
+    """Numbers of chunks, in the order in which they are first asked for."""
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self)
+        return number
+
+
 class Segmenter:
     def __init__(self, vocabulary: Vocabulary):
         v = self.v = vocabulary
@@ -82,11 +94,22 @@ class Segmenter:
         self.powers = [np.uint64(pow(_BASE, k, 1 << 64)) for k in range(self.longest + 1)]
         by_hash = sorted((self._hash(p), i) for p, i in self.ids.items())
         self.keys = np.array([h for h, _ in by_hash], np.uint64)
-        self.key_ids = np.array([i for _, i in by_hash] + [-1], np.int32)
+        self.key_ids = np.array([i for _, i in by_hash], np.int32)
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces share a hash")
-        self.scores = np.array([*v.scores, -np.inf])  # index -1: no such piece
+        self.scores = np.array(v.scores)
+        #: Whether any key has these leading bits: few other hashes need the search.
+        self.maybe = np.zeros(1 << _LEAD, bool)
+        self.maybe[self.keys >> np.uint64(64 - _LEAD)] = True
         self.memo: dict[str, list] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is remembered of earlier chunks."""
+        self.number = _Numbers()
+        self.best, self.gap = np.zeros(0), np.zeros(0)
+        self.count, self.begin = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.empty(0, np.int32)
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -141,6 +164,13 @@ class Segmenter:
 
     # --- many chunks of one length, with arrays -----------------------------------------
 
+    def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that belong to a piece, and the ids of these pieces."""
+        rows = np.flatnonzero(self.maybe[hashes >> np.uint64(64 - _LEAD)])
+        at = np.minimum(np.searchsorted(self.keys, hashes[rows]), len(self.keys) - 1)
+        hit = self.keys[at] == hashes[rows]
+        return rows[hit], self.key_ids[at[hit]]
+
     def wide(self, chunks: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of chunks of ``size`` characters: best scores, what the second best loses, numbers of
         pieces, and all pieces in order (-1-c for a character c in bytes)."""
@@ -156,27 +186,27 @@ class Segmenter:
         edge = {}
         for j in range(1, size + 1):
             for k in range(min(self.longest, j), 0, -1):
-                h = prefix[j] - prefix[j - k] * self.powers[k]
-                at = np.searchsorted(self.keys, h)
-                hit = self.keys[np.minimum(at, len(self.keys) - 1)] == h
-                if k > 1 and not hit.any():
-                    continue
-                ids = np.where(hit, self.key_ids[at], -1)
+                rows, ids = self.look(prefix[j] - prefix[j - k] * self.powers[k])
                 score = self.scores[ids]
-                if k == 1:
-                    score = np.where(hit, score, width[:, j - 1])
-                edge[j, k] = score
-                total = ahead[j - k] + score
-                better = total > ahead[j]
-                ahead[j][better] = total[better]
-                length[j][better] = k
-                piece[j][better] = ids[better]
+                if k == 1:  # every character has an edge, if only as bytes
+                    every, score = score, width[:, j - 1].copy()
+                    score[rows], single = every, np.full(n, -1, np.int32)
+                    single[rows], rows, ids = ids, np.arange(n), single
+                elif not len(rows):
+                    continue
+                edge[j, k] = rows, score
+                total = ahead[j - k, rows] + score
+                better = total > ahead[j, rows]
+                ahead[j, rows[better]] = total[better]
+                length[j, rows[better]] = k
+                piece[j, rows[better]] = ids[better]
         behind = np.full((size + 1, n), -np.inf)
         behind[size] = 0
         for j in range(size, 0, -1):
             for k in range(1, min(self.longest, j) + 1):
                 if (j, k) in edge:
-                    np.maximum(behind[j - k], edge[j, k] + behind[j], out=behind[j - k])
+                    rows, score = edge[j, k]
+                    behind[j - k, rows] = np.maximum(behind[j - k, rows], score + behind[j, rows])
         # The path from its end; a cell is a place at which a piece of the best path ends.
         ends = np.zeros((size + 1, n), bool)
         at, rows = np.full(n, size), np.arange(n)
@@ -187,10 +217,10 @@ class Segmenter:
             ends[at[live], rows[live]] = True
             at = at - np.where(live, length[at, rows], 0)
         second = np.full(n, -np.inf)
-        for (j, k), score in edge.items():
-            through = ahead[j - k] + score + behind[j]
-            through[ends[j] & (length[j] == k)] = -np.inf
-            np.maximum(second, through, out=second)
+        for (j, k), (rows, score) in edge.items():
+            through = ahead[j - k, rows] + score + behind[j, rows]
+            through[ends[j, rows] & (length[j, rows] == k)] = -np.inf
+            second[rows] = np.maximum(second[rows], through)
         found = np.where(piece[1:] >= 0, piece[1:], -1 - chars.T.astype(np.int64))
         inside = ends[1:].T
         return ahead[size], ahead[size] - second, inside.sum(axis=1), found.T[inside]
@@ -209,16 +239,8 @@ class Segmenter:
             last = i + 1
         return np.concatenate([*out, ids[last:]])
 
-    def encode(self, texts: list[str], n: int = N_BEST) -> list[tuple[np.ndarray, float, list[tuple[float, list]]]]:
-        """For each text its best ids, their score, and the next ``n``-1 segmentations as (score,
-        swaps); a swap (at, drop, ids) replaces ``drop`` of the best pieces from ``at`` on."""
-        number: dict[str, int] = {}
-        places, upto = [], []
-        for text in texts:
-            if text:
-                places += [number.setdefault(c, len(number)) for c in _CHUNK.findall(" " + text)]
-            upto.append(len(places))
-        chunks, where = list(number), np.array(places, np.int64)
+    def learn(self, chunks: list[str]) -> None:
+        """Best segmentations of chunks that are not yet remembered, in the order of their numbers."""
         score, gap, count = np.zeros(len(chunks)), np.zeros(len(chunks)), np.zeros(len(chunks), np.int64)
         pieces: list[np.ndarray] = []
         order: list[int] = []
@@ -230,18 +252,35 @@ class Segmenter:
                 for k in own:
                     two = self.n_best(chunks[k], 2)
                     score[k], gap[k], count[k] = two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf, len(two[0][1])
-                    pieces.append(np.array(two[0][1], np.int64))
+                    pieces.append(np.array(two[0][1], np.int32))
                     order.append(k)
                 continue
             step = max(1, _CELLS // (size * self.longest))
             for a in range(0, len(own), step):
                 some = own[a : a + step]
                 score[some], gap[some], count[some], ids = self.wide([chunks[k] for k in some], size)
-                pieces.append(ids)
+                pieces.append(ids.astype(np.int32))
                 order += some
-        flat = np.concatenate([*pieces, np.empty(0, np.int64)])
         begin = np.empty(len(chunks), np.int64)
-        begin[order] = np.cumsum(count[order]) - count[order]
+        begin[order] = len(self.flat) + np.cumsum(count[order]) - count[order]
+        self.best, self.gap = np.concatenate([self.best, score]), np.concatenate([self.gap, gap])
+        self.count, self.begin = np.concatenate([self.count, count]), np.concatenate([self.begin, begin])
+        self.flat = np.concatenate([self.flat, *pieces])
+
+    def encode(self, texts: list[str], n: int = N_BEST) -> list[tuple[np.ndarray, float, list[tuple[float, list]]]]:
+        """For each text its best ids, their score, and the next ``n``-1 segmentations as (score,
+        swaps); a swap (at, drop, ids) replaces ``drop`` of the best pieces from ``at`` on."""
+        if len(self.number) > MEMORY:
+            self.forget()
+        number = self.number
+        places, upto = [], []
+        for text in texts:
+            if text:
+                places.extend(map(number.__getitem__, _CHUNK.findall(" " + text)))
+            upto.append(len(places))
+        self.learn(list(islice(number, len(self.best), None)))
+        chunks, where = list(number), np.array(places, np.int64)
+        gap, score, count, begin, flat = self.gap, self.best, self.count, self.begin, self.flat
         found, last = [], 0
         for end in upto:
             own = where[last:end]
@@ -276,6 +315,12 @@ class Segmenter:
         return text[1:] if text[:1] == " " else text
 
 
+@lru_cache(maxsize=1)
+def segmenter_of(vocabulary: Vocabulary) -> Segmenter:
+    """One segmenter per worker process, so that later tasks find what earlier ones learned."""
+    return Segmenter(vocabulary)
+
+
 def segment(df: DataFrame, keep: list[str], n: int = N_BEST, model: str = MODEL) -> DataFrame:
     """Columns ``keep``, then ``ids`` (best pieces of the whole text), ``score``, and ``others``:
     the next ``n``-1 segmentations as score and swaps (chunk number, ids instead of its best)."""
@@ -284,7 +329,7 @@ def segment(df: DataFrame, keep: list[str], n: int = N_BEST, model: str = MODEL)
     other = pa.list_(pa.struct([("score", pa.float64()), ("swaps", pa.list_(swap))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(vocabulary)
+        segmenter = segmenter_of(vocabulary)
         for batch in batches:
             texts = [t.decode("utf-8", "replace") for t in text_bytes(batch.column("__lm_text"))]
             for a, b in blocks([len(t) for t in texts]):
@@ -306,7 +351,7 @@ def decode(df: DataFrame, keep: list[str], column: str = "ids", model: str = MOD
     vocabulary = load(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(vocabulary)
+        segmenter = segmenter_of(vocabulary)
         for batch in batches:
             ids = batch.column("__lm_coded")
             for a in range(0, len(ids), 1000):

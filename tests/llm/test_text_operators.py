@@ -363,6 +363,17 @@ def all_paths(s, text):
     return sorted(found, reverse=True)
 
 
+def test_remembered_chunks_change_no_result(monkeypatch):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["the", "token", "zq" * 30, "é漢", "x1\n", "of", ""]) for _ in range(rnd.randint(0, 60))) for _ in range(60)]
+    plain = lambda found: [(list(ids), score, others) for ids, score, others in found]
+    alone = [plain(pieces.Segmenter(pieces.load()).encode([t]))[0] for t in texts[:12]]
+    s = pieces.Segmenter(pieces.load())
+    assert plain(s.encode(texts))[:12] == alone and plain(s.encode(texts[:12])) == alone
+    monkeypatch.setattr(pieces, "MEMORY", 2)  # now forgets before each call
+    assert [plain(s.encode([t]))[0] for t in texts[:12]] == alone
+
+
 def test_n_best_equals_all_segmentations_and_decodes(spark, odd):
     s = pieces.Segmenter(pieces.load())
     rnd = random.Random(3)
