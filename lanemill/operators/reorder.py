@@ -38,34 +38,62 @@ def start_points(flat: DataFrame, config: LaneConfig = LaneConfig()) -> DataFram
 
 
 def greedy_order(xyz: np.ndarray, direction: np.ndarray, radius: float = 3.0) -> np.ndarray:
-    """Indices of the points in greedy order; lanes below two points stay as they are."""
+    """Indices of the points in greedy order; lanes below two points stay as they are.
+
+    Points are sorted along the axis of the widest extent. A step first looks at the points within a
+    window on that axis, and widens it until no point outside can cost less than the best inside: a
+    cost is at least the squared distance over the largest score that the direction allows."""
     n = len(xyz)
     if n < 2:
         return np.arange(n)
+    ok = np.isfinite(xyz).all(axis=1)
+    axis = int(np.argmax(np.ptp(xyz[ok], axis=0))) if ok.any() else 0
+    along = np.argsort(xyz[:, axis], kind="stable")  # not-a-number comes last
+    line = xyz[along, axis]
+    steepest = np.sqrt((direction * direction).sum(axis=1)) + SCORE_SHIFT
+    left = np.ones(n, bool)
 
     def scores(i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = xyz[others] - xyz[i]
-        sq = (d * d).sum(axis=1)
+        dx, dy, dz = (xyz[others, c] - xyz[i, c] for c in range(3))
+        sq = dx * dx + dy * dy + dz * dz
         r = np.sqrt(sq)
-        ahead = (d @ direction[i]) / np.where(r < EPSILON, 1.0, r)
+        ahead = (dx * direction[i, 0] + dy * direction[i, 1] + dz * direction[i, 2]) / np.where(r < EPSILON, 1.0, r)
         return sq, np.where(r < EPSILON, -1.0, ahead)
 
-    everything = np.arange(n)
+    def window(i: int, width: float) -> np.ndarray:
+        """Points left within ``width`` of point ``i`` along the axis, in their own order."""
+        at, slack = xyz[i, axis], width * (1 + 1e-9)
+        some = along[np.searchsorted(line, at - slack, "left") : np.searchsorted(line, at + slack, "right")]
+        return np.sort(some[left[some]])
+
     best = None
     for i in range(n):
-        sq, s = scores(i, everything)
-        near = sq <= radius * radius
-        near[i] = False
+        others = window(i, radius)
+        sq, s = scores(i, others)
+        near = (sq <= radius * radius) & (others != i)
         key = (int((near & (s < COUNT_BEHIND)).sum()), -int((near & (s >= COUNT_BEHIND) & (s > COUNT_AHEAD)).sum()), i)
         best = key if best is None or key < best else best
-    order, left = [best[2]], np.delete(everything, best[2])
-    while len(left):
-        sq, s = scores(order[-1], left)
-        fit = s >= BEHIND
-        cost = np.where(fit, sq / np.where(fit, s + SCORE_SHIFT, 1.0), np.inf)
-        k = int(np.argmin(cost)) if fit.any() else int(np.argmin(sq))
-        order.append(int(left[k]))
-        left = np.delete(left, k)
+    order = [best[2]]
+    left[best[2]] = False
+    while len(order) < n:
+        i, width, found = order[-1], max(radius, 1e-3), None
+        while found is None:
+            others = window(i, width)
+            whole = len(others) == n - len(order) or not np.isfinite(width)
+            if whole:
+                others = np.flatnonzero(left)
+            sq, s = scores(i, others)
+            fit = s >= BEHIND
+            if fit.any():
+                cost = np.where(fit, sq / np.where(fit, s + SCORE_SHIFT, 1.0), np.inf)
+                k = int(np.argmin(cost))
+                if whole or cost[k] * steepest[i] < width * width * (1 - 1e-9):
+                    found = int(others[k])
+            elif whole:
+                found = int(others[np.argmin(sq)])
+            width *= 4
+        order.append(found)
+        left[found] = False
     return np.array(order)
 
 

@@ -107,6 +107,12 @@ def test_reorder_matches_the_plain_model_and_permutes(spark):
         xyz = [[rnd.randint(0, 4) for _ in range(3)] for _ in range(n)]
         direction = [rnd.choice(([1, 0, 0], [0, 1, 0], [0, 0, 0])) for _ in range(n)]
         assert reorder.greedy_order(np.array(xyz, float).reshape(n, 3), np.array(direction, float).reshape(n, 3)).tolist() == plain_order(xyz, direction)
+    for n in (60, 90):  # long lanes, where a window holds few of the points; directions of any length
+        xyz = [[rnd.uniform(0, 60), rnd.choice((0.0, 2.0, 5.0)), rnd.uniform(0, 1)] for _ in range(n)]
+        direction = [[rnd.uniform(-3, 3), rnd.uniform(-1, 1), 0.0] for _ in range(n)]
+        assert reorder.greedy_order(np.array(xyz), np.array(direction)).tolist() == plain_order(xyz, direction)
+    odd = np.array([[0, 0, 0], [np.nan, 0, 0], [np.inf, 1, 0], [5, 0, 0], [1, 0, 0]])
+    assert sorted(reorder.greedy_order(odd, np.ones((5, 3)))) == [0, 1, 2, 3, 4]
     shuffled = flat(spark, {1: [(2, 0), (0, 0), (3, 0), (1, 0)], 2: [(4, 4)]})
     assert lanes_of(reorder.reorder_points(shuffled)) == {1: [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (3.0, 0.0)], 2: [(4.0, 4.0)]}
     assert {r.lane_id: r.pos for r in reorder.start_points(shuffled).collect()} == {1: 1, 2: 0}
