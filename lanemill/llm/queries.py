@@ -19,12 +19,15 @@ QUERIES = {
     "lm_base_scores": lm.lm_base_scores,
     "secret_base_counts": secrets.secret_base_counts,
     "spotsigs_likeness": spotsigs.spotsigs_likeness,
+    # The fingerprints compared with each other in length partitions, with pruning.
+    "spotsigs_classes": spotsigs.spotsigs_classes,
 }
 
 ORACLES = {
     "lm_base_scores": lm.LM_BASE_SQL,
     "secret_base_counts": secrets.SECRET_BASE_SQL,
     "spotsigs_likeness": spotsigs.SPOTSIGS_SQL,
+    "spotsigs_classes": spotsigs.CLASSES_SQL,
     "op2_near_duplicates": neardup.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
 }

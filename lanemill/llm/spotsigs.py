@@ -2,9 +2,11 @@
 
 A spot is a common word (an anchor) with the chain of the two content words that follow it
 within a short window; common words in between are passed over. The set of a text's hashed
-spots is its fingerprint. The query adds chains of three words where no spot covers a word. Sets are compared by Jaccard similarity; sets whose lengths are too
-far apart to reach a threshold are told apart by their length partition, or by the bound that
-the lengths set, before any element is compared.
+spots is its fingerprint; chains of three words are added where no spot covers a word. Sets are
+compared by Jaccard similarity. ``classes`` compares all fingerprints with each other: sets whose
+lengths are too far apart to reach the threshold are told apart by their length partition, or by
+the bound that the lengths set, before any element is compared. ``op9_spotsigs`` compares given
+pairs, whose exact likeness is asked for, so nothing is pruned there.
 
 Defined cases: null text counts as empty; a text without any spot is marked by all its chains
 of three words, and one with fewer than three words by its words as a whole, so every text has
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.graph import connected_components
 from .common import documents, shared_table, shuffle_partitions
 
 # Common words of four languages.
@@ -95,37 +98,53 @@ def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
 def length_partition(signature: Column, threshold: float) -> Column:
     """Number of the partition of a set's length. Lengths of one partition are within a factor of
     ``threshold``, so sets that reach it lie in the same or in neighbouring partitions."""
-    return F.floor(F.log(F.size(signature).cast("double")) / -math.log(threshold)).cast("int")
-
-
-def leaders(df: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id and ``leader_id`` of each row: the smallest id among the verified leaders it meets.
-
-    Equal sets are one class. A class posts as many of its rarest signatures as two sets at the
-    threshold must share one of, to its own length partition and the one below; the smallest id
-    at each post is its leader, and a leader counts once the Jaccard similarity is confirmed. The
-    work is linear in the posts, whatever the size of a group.
-    """
-    rows = signatures(df.select("doc_id", "text"), "text", "sigs").withColumn("print", fingerprint(F.col("sigs")))
-    rows = shared_table(df.sparkSession, rows.select("doc_id", "sigs", "print"), "spots")
-    classes = rows.groupBy("print").agg(F.min("doc_id").alias("rep"), F.min("sigs").alias("sigs"))
-    frequency = classes.select(F.explode("sigs").alias("sig")).groupBy("sig").count()
-    n_posts = F.size("sigs") - F.ceil(F.size("sigs") * threshold) + 1
-    ranked = (
-        classes.select("rep", "sigs", F.explode("sigs").alias("sig"))
-        .join(frequency, "sig")
-        .groupBy("rep")
-        .agg(F.array_sort(F.collect_list(F.struct("count", "sig"))).alias("order"), F.first("sigs").alias("sigs"))
-    )
-    home = length_partition(F.col("sigs"), threshold)
-    posts = ranked.select("rep", F.explode(F.array(home, home - 1)).alias("part"), F.explode(F.transform(F.slice("order", 1, n_posts.cast("int")), lambda x: x["sig"])).alias("sig"))
-    heads = posts.groupBy("part", "sig").agg(F.min("rep").alias("head"))
-    pairs = posts.join(heads, ["part", "sig"]).filter("head < rep").select("rep", "head").distinct()
-    own, other = classes.select("rep", "sigs"), classes.select(F.col("rep").alias("head"), F.col("sigs").alias("head_sigs"))
-    sure = pairs.join(own, "rep").join(other, "head").filter(likeness(F.col("sigs"), F.col("head_sigs"), threshold) >= threshold)
-    best = sure.groupBy("rep").agg(F.min("head").alias("head"))
-    found = classes.select("print", "rep").join(best, "rep", "left")
-    return rows.select("doc_id", "print").join(found, "print").select("doc_id", F.coalesce("head", "rep").alias("leader_id"))
+    return F.floor(F.log(F.size(signature).cast("double")) / -math.log(threshold) + 1e-9).cast("int")
+
+
+def classes(df: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id and ``class_id`` of each row: the smallest id that a chain of links leads to, where sets
+    with a Jaccard similarity of ``threshold`` or more are linked. No link between classes is lost.
+
+    Equal sets are one candidate, whatever their number. A set posts as many of its rarest signatures
+    as two sets at the threshold must share one of, to its own length partition and the one below, so
+    every link meets in a post. First each set is compared with the first of each of its posts, which
+    is linear in the posts and joins large groups. Only posts that still hold sets of different
+    classes then compare those of different classes with each other; pairs within a class, whose
+    comparison could change nothing, are never formed.
+
+    Defined cases beside those above: rows without an id belong to the class of their text, whose
+    ``class_id`` is null if no row of it has one; empty texts are one class."""
+    spark = df.sparkSession
+    rows = covering(df.select("doc_id", "text"), "text", "sigs").withColumn("print", fingerprint(F.col("sigs")))
+    rows = shared_table(spark, rows.select("doc_id", "sigs", "print"), "spots")
+    sets = rows.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.min("sigs").alias("sigs"))
+    sets = shared_table(spark, sets.withColumn("n", F.size("sigs")).withColumn("rep", F.monotonically_increasing_id()), "sets")
+    each = sets.select("rep", "n", length_partition(F.col("sigs"), threshold).alias("home"), F.explode("sigs").alias("sig"))
+    ranked = each.join(each.groupBy("sig").agg(F.count(F.lit(1)).alias("uses")), "sig")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("uses", "sig"))
+    rare = ranked.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    posts = shared_table(spark, rare.select("rep", "n", F.explode(F.array(F.col("home"), F.col("home") - 1)).alias("part"), "sig"), "posts")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        sides = [sets.select(F.col("rep").alias(side), F.col("sigs").alias(f"sigs_{side}")) for side in "ab"]
+        compared = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
+        return compared.filter(likeness(F.col("sigs_a"), F.col("sigs_b"), threshold) >= threshold).select("a", "b")
+
+    fits = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
+    heads = posts.groupBy("part", "sig").agg(F.min(F.struct("rep", "n")).alias("head"))
+    stars = posts.join(heads, ["part", "sig"]).filter((F.col("head.rep") < F.col("rep")) & fits(F.col("n"), F.col("head.n")))
+    links = shared_table(spark, confirmed(stars.select(F.col("head.rep").alias("a"), F.col("rep").alias("b"))), "links")
+    joined = shared_table(spark, connected_components(links).toDF("rep", "comp"), "joined")
+    labelled = posts.join(joined, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = labelled.groupBy("part", "sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("part", "sig")
+    rest = shared_table(spark, labelled.join(mixed, ["part", "sig"], "left_semi"), "rest")
+    x, y = (rest.select("part", "sig", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "comp"))) for side in "ab")
+    across = x.join(y, ["part", "sig"]).filter((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & fits(F.col("n_a"), F.col("n_b")))
+    links = links.unionByName(confirmed(across.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))))
+    comps = connected_components(links).toDF("rep", "comp")
+    named = sets.select("print", "first_id", "rep").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    names = named.groupBy("comp").agg(F.min("first_id").alias("class_id"))
+    return rows.select("doc_id", "print").join(named.join(names, "comp").select("print", "class_id"), "print").select("doc_id", "class_id")
 
 
 def with_next(df: DataFrame, mark: Callable[[DataFrame, str, str], DataFrame] = signatures) -> DataFrame:
@@ -185,6 +204,11 @@ def spotsigs_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", "edited_sha256", *near, "n_signatures", "length_partition")
 
 
+def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of all documents whose fingerprints' sets reach the default similarity."""
+    return classes(documents(spark, sf_dir))
+
+
 SPOTSIGS_SQL = f"""
 WITH a AS (SELECT [{", ".join(f"'{w}'" for w in ANCHORS)}] AS anchors),
 t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -205,6 +229,24 @@ j AS (SELECT e.doc_id, length(e.text) AS n_chars, sha256(edited) AS edited_sha25
   JOIN m z ON z.doc_id = e.next_id AND z.kind = 'text'),
 k AS (SELECT *, len(list_intersect(own, other)) AS p, len(list_intersect(own, after)) AS q FROM j)
 SELECT doc_id, n_chars, edited_sha256, round(p / (len(own) + len(other) - p), 6) AS near_edited, round(q / (len(own) + len(after) - q), 6) AS near_next,
-       CAST(len(own) AS BIGINT) AS n_signatures, CAST(floor(ln(len(own)) / -ln(CAST(0.8 AS DOUBLE))) AS INTEGER) AS length_partition
+       CAST(len(own) AS BIGINT) AS n_signatures, CAST(floor(ln(len(own)) / -ln(CAST(0.8 AS DOUBLE)) + 1e-9) AS INTEGER) AS length_partition
 FROM k
 """
+
+#: All pairs of sets that share a signature, without partitions or pruning.
+CLASSES_SQL = f"""
+WITH RECURSIVE a AS (SELECT [{", ".join(f"'{w}'" for w in ANCHORS)}] AS anchors),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS words FROM documents),
+c AS (SELECT w.*, len(words) AS n, list_transform(range(1, len(words) + 1), lambda i: CASE WHEN list_contains(anchors, words[i])
+        THEN list_concat([words[i]], list_filter(words[i + 1:i + {REACH}], lambda x: NOT list_contains(anchors, x))[1:{CHAIN}]) END) AS chains FROM w, a),
+s AS (SELECT *, list_transform(chains, lambda x: CASE WHEN len(x) = {CHAIN + 1} THEN array_to_string(x, ' ') END) AS spots FROM c),
+m AS (SELECT doc_id, CASE WHEN n < 3 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_filter(
+    list_transform(range(1, n + 1), lambda i: CASE WHEN spots[i] IS NOT NULL THEN spots[i]
+      WHEN i = n - 2 OR (i < n - 2 AND (i < 2 OR spots[i - 1] IS NULL) AND (i < 3 OR spots[i - 2] IS NULL)) THEN array_to_string(words[i:i + 2], ' ') END),
+    lambda x: x IS NOT NULL)) END AS sigs FROM s),
+u AS MATERIALIZED (SELECT doc_id, len(sigs) AS n, unnest(sigs) AS sig FROM m),
+p AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y ON x.sig = y.sig AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 10 * count(*) >= 8 * (x.n + y.n - count(*))),
+r AS (SELECT a AS doc_id, b AS other FROM p UNION SELECT r.doc_id, p.b FROM r JOIN p ON p.a = r.other)
+SELECT m.doc_id, least(m.doc_id, min(r.other)) AS class_id FROM m LEFT JOIN r ON r.doc_id = m.doc_id GROUP BY m.doc_id
+"""

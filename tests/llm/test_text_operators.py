@@ -450,12 +450,38 @@ def test_no_word_is_left_out_of_the_signatures(spark):
     assert x.print != y.print and len(set(x.sigs) & set(y.sigs)) < 0.1 * len(set(x.sigs) | set(y.sigs))
 
 
-def test_leaders_of_near_copies(spark):
+def test_classes_equal_all_pairs(spark, odd):
     rnd = random.Random(1)
     base = [f"the word{i} thing{i}" for i in range(60)]
-    docs = [(k, " ".join(base[: 60 - k % 3])) for k in range(20)] + [(100 + k, " ".join(f"of a{rnd.random()} b{rnd.random()}" for _ in range(30))) for k in range(5)]
-    found = {r.doc_id: r.leader_id for r in spotsigs.leaders(spark.createDataFrame(docs, DOC)).collect()}
-    assert all(found[k] == 0 for k in range(20)) and all(found[100 + k] == 100 + k for k in range(5))
+    docs = [(k, " ".join(base[: 60 - k % 3])) for k in range(20)]  # a chain of near copies, many equal
+    docs += [(100 + k, " ".join(f"of a{rnd.random()} b{rnd.random()}" for _ in range(30))) for k in range(5)]
+    for g in range(12):  # groups with a common passage, at and around the threshold, of all lengths
+        own = [f"the g{g}w{i} g{g}t{i}" for i in range(rnd.randint(2, 40))]
+        for k in range(8):
+            some = [x if rnd.random() < 0.94 else f"of z{rnd.random()} y{rnd.random()}" for x in own]
+            docs.append((1000 + 20 * g + k, " ".join(base[: rnd.choice([0, 0, 3])] + some)))
+    docs += [(k, None if k % 2 else "") for k in range(5000, 5004)] + [(None, docs[0][1]), (None, "lone words here")]
+    df = spark.createDataFrame(docs, DOC)
+    sets = [(r.doc_id, frozenset(r.sigs)) for r in spotsigs.covering(df, "text", "sigs").collect()]
+    comp = list(range(len(sets)))
+
+    def top(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i, (_, x) in enumerate(sets):
+        for j, (_, y) in enumerate(sets[:i]):
+            if 10 * len(x & y) >= 8 * len(x | y):
+                comp[top(i)] = top(j)
+    ids = {}
+    for i, (doc, _) in enumerate(sets):
+        if doc is not None:
+            ids[top(i)] = min(doc, ids.get(top(i), doc))
+    wanted = sorted(((doc, ids.get(top(i))) for i, (doc, _) in enumerate(sets)), key=str)
+    found = sorted(((r.doc_id, r.class_id) for r in spotsigs.classes(df).collect()), key=str)
+    assert found == wanted and len({c for _, c in wanted}) > 20
+    assert spotsigs.classes(odd).count() == odd.count() and spotsigs.classes(df.limit(0)).count() == 0
     a, b = F.array(F.lit(1), F.lit(2)), F.array(*(F.lit(i) for i in range(2, 12)))
     row = spark.range(1).select(spotsigs.likeness(a, b, 0.8).alias("x"), spotsigs.likeness(a, b).alias("y")).first()
     assert row.x == 0 and row.y == pytest.approx(1 / 11)
