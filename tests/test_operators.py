@@ -292,3 +292,40 @@ def test_presentation(spark):
     for _ in range(2):
         x = ((x >> 16) ^ x) * 0x45D9F3B % 2**32
     assert row.hash == (x >> 16) ^ x
+
+
+def test_candidates_of_crowded_ends_equal_all_pairs(spark):
+    """Ends within one radius of each other, with single ends that have no finite direction or none at all."""
+    import math
+
+    import numpy as np
+
+    from lanemill.config import LaneConfig
+    from lanemill.operators.merge import facing_pairs, merge_candidates
+
+    g = np.random.default_rng(3)
+    for shift, degrees in ((0.0, 30.0), (5000.0, 30.0), (0.0, 50.0), (3e7, 30.0)):
+        d = g.normal(size=(150, 3))
+        d /= np.linalg.norm(d, axis=1, keepdims=True)
+        d[:2], d[2:4] = np.nan, 0
+        x = g.uniform(-1, 1, (150, 3)) + shift
+        rows = [(int(i // 2), bool(i % 2), *map(float, x[i]), *map(float, d[i])) for i in range(150)]
+        ends = spark.createDataFrame(rows, "lane_id int, front boolean, x double, y double, z double, dx double, dy double, dz double")
+        config = LaneConfig(direction_threshold_deg=degrees)
+        found = {tuple(r)[:4] for r in merge_candidates(ends, config).collect()}
+        f, t, want = x.astype(np.float32).astype(float), math.cos(math.radians(degrees)), set()
+        near = 0
+        for i in range(150):
+            for j in range(150):
+                link = x[j] - x[i]
+                apart = math.sqrt(link @ link)
+                if rows[i][0] < rows[j][0] and ((f[j] - f[i]) ** 2).sum() < 1.5**2 and apart > 0:
+                    near += 1
+                    u, v = (-d[k] if rows[k][1] else d[k] for k in (i, j))
+                    angle = math.degrees(math.acos(min(abs(u @ v), 1)))
+                    above = lambda c: math.isnan(c) or c > t  # noqa: E731  NaN is above all numbers, as in SQL
+                    if above(u @ link / apart) and above(-(v @ link) / apart) and (math.isnan(angle) or angle <= degrees):
+                        want.add((rows[i][0], rows[i][1], rows[j][0], rows[j][1]))
+        assert found == want and want
+        if shift == 0.0 and degrees == 30.0:  # the plain ends meet few others
+            assert facing_pairs(ends.filter("dx <> 0 AND NOT isnan(dx)"), 1.5, degrees).count() < near / 2
