@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,9 +39,11 @@ LEVEL = 6
 #: Ends every block. The encoder stores a block that it cannot shorten as it is, which would tell no
 #: language from another; with a run that it can shorten, it always encodes. It costs all alike.
 FILLER = b"\n" * 400
-#: Margins below this share of what all but ``LOW`` of the rightly recognised held-out rows reach
-#: reject a text; without held-out rows only a tie does.
+#: Margins below this share of what all but ``LOW`` of all rightly recognised rows outside the dictionaries
+#: reach reject a text; without such rows only a tie does.
 SHARE, LOW, MIN_MARGIN = 0.3, 0.01, 0.001
+#: Steps of a margin that are told apart.
+STEPS = 1_000_000
 
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -78,8 +80,13 @@ def fill(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     return found * -(-LEAST_BYTES // len(found)) if found else found
 
 
+def place_of() -> Column:
+    """A row's place in hashed order, from 0 to 1."""
+    return F.xxhash64(F.lit(7), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))) / F.lit(2.0**64) + 0.5
+
+
 def sampled(df: DataFrame, sample_docs: int) -> DataFrame:
-    """lang, place (from 0 in hashed order), languages (their number) and plain text of the sampled rows:
+    """lang, rank, place (from 0 in hashed order), languages (their number) and plain text of the sampled rows:
     for each language those with letters and the smallest hashed ids, ``sample_docs`` for its dictionary
     and a quarter more between them that no dictionary sees."""
     rows = df.filter("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("doc_id", "lang", "text")
@@ -87,8 +94,7 @@ def sampled(df: DataFrame, sample_docs: int) -> DataFrame:
     counts = counts.select("lang", "count", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("languages"))
     # A hash threshold per language keeps the expected sample at twice the bound before the exact cut.
     most = sample_docs * HELD_OUT // (HELD_OUT - 1)
-    rank = F.xxhash64(F.lit(7), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))) / F.lit(2.0**64) + 0.5
-    few = rows.withColumn("rank", rank).join(F.broadcast(counts), "lang").filter(F.col("rank") * F.col("count") <= 2.0 * most + 20.0)
+    few = rows.withColumn("rank", place_of()).join(F.broadcast(counts), "lang").filter(F.col("rank") * F.col("count") <= 2.0 * most + 20.0)
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +103,11 @@ def sampled(df: DataFrame, sample_docs: int) -> DataFrame:
 
     few = few.select("lang", "languages", "rank", "text").mapInArrow(frugal(plain), "lang string, languages long, rank double, text binary")
     order = Window.partitionBy("lang").orderBy("rank", "text")
-    return few.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < most).select("lang", "languages", "place", "text")
+    return few.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < most).select("lang", "languages", "rank", "place", "text")
+
+
+def dictionary_rows(sample: DataFrame) -> DataFrame:
+    return sample.filter(f"place % {HELD_OUT} <> {HELD_OUT - 1}")
 
 
 def learn(sample: DataFrame) -> dict[str, bytes]:
@@ -108,8 +118,7 @@ def learn(sample: DataFrame) -> dict[str, bytes]:
         rows = sorted(zip(table.column("place").to_pylist(), table.column("text").to_pylist(), strict=True))
         return pa.table({"lang": table.column("lang")[:1], "content": pa.array([fill([t for _, t in rows], size)], pa.binary())})
 
-    used = sample.filter(f"place % {HELD_OUT} <> {HELD_OUT - 1}")
-    return {r["lang"]: bytes(r["content"]) for r in used.groupBy("lang").applyInArrow(one, "lang string, content binary").collect()}
+    return {r["lang"]: bytes(r["content"]) for r in dictionary_rows(sample).groupBy("lang").applyInArrow(one, "lang string, content binary").collect()}
 
 
 def train(df: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
@@ -175,20 +184,27 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def least_margin(sample: DataFrame, dictionaries: dict[str, bytes]) -> float:
-    """The margin below which a text is in no learned language, from the sampled rows that no dictionary saw."""
-    held_out = sample.filter(f"place % {HELD_OUT} = {HELD_OUT - 1}")
-    right = predict(held_out, dictionaries, ["lang"]).filter("lang = __lm_lang")
-    low = right.agg(F.percentile("__lm_margin", F.lit(LOW)).alias("low")).first()["low"]
-    return max(MIN_MARGIN, SHARE * (low or 0.0))
+def least_margin(found: DataFrame, used: DataFrame) -> float:
+    """The margin below which a text is in no learned language, from all labelled rows that no dictionary
+    saw. ``found``: what ``predict`` gives, with doc_id, text and lang; ``used``: the rows in the dictionaries.
+
+    Margins are counted in steps, so what is sorted does not grow with the rows."""
+    right = found.filter("lang = __lm_lang").withColumn("rank", place_of())
+    right = right.join(F.broadcast(used.select("lang", "rank")), ["lang", "rank"], "left_anti")
+    steps = right.groupBy(F.floor(F.col("__lm_margin") * STEPS).alias("step")).count()
+    every = Window.partitionBy(F.lit(1))
+    steps = steps.select("step", F.sum("count").over(every.orderBy("step")).alias("upto"), F.sum("count").over(every).alias("total"))
+    low = steps.filter(F.col("upto") > LOW * F.col("total")).agg(F.min("step").alias("low")).first()["low"]
+    return max(MIN_MARGIN, SHARE * (low or 0) / STEPS)
 
 
 def accepted(df: DataFrame, min_margin: float | None = None) -> DataFrame:
     """The rows of ``df`` whose language is found with a margin of ``min_margin`` or more; learns the
-    languages, and the margin unless it is given, from the labelled rows of ``df`` itself."""
+    languages, and the margin unless it is given, from the labelled rows of ``df`` itself. All margins
+    are then written, as the threshold comes from them."""
     sample = shared_table(df.sparkSession, sampled(df, SAMPLE_DOCS), "languages")
-    dictionaries = learn(sample)
+    found = predict(df, learn(sample), df.columns)
     if min_margin is None:
-        min_margin = least_margin(sample, dictionaries)
-    found = predict(df, dictionaries, df.columns)
+        found = shared_table(df.sparkSession, found, "margins")
+        min_margin = least_margin(found, dictionary_rows(sample))
     return found.filter(f"__lm_lang <> 'und' AND __lm_margin >= {min_margin}").select(*df.columns)

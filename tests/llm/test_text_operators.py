@@ -492,3 +492,16 @@ def test_fold_is_crc32(spark):
 
     row = spark.range(7, 8).select(fold(F.col("id"), 5).alias("f")).first()
     assert row.f == zlib.crc32(b"7") % 5
+
+
+def test_margin_counts_all_rows_outside_the_dictionaries(spark):
+    """More rows than any sample holds: every one counts, but those in the dictionaries and wrong ones do not."""
+    from pyspark.sql import functions as F
+
+    from lanemill.llm import langid
+
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("aa").alias("lang"))
+    found = rows.withColumn("__lm_lang", F.when(F.col("doc_id") < 2000, "aa").otherwise("bb")).withColumn("__lm_margin", F.col("doc_id") / 2000 + 0.1)
+    used = rows.filter("doc_id < 100").withColumn("rank", langid.place_of())
+    assert abs(langid.least_margin(found, used) - langid.SHARE * (119 / 2000 + 0.1)) < 1e-5
+    assert langid.least_margin(found.limit(0), used) == langid.MIN_MARGIN
