@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanemill.llm import exact_dedup, langid, mixing, neardup, pieces
-from lanemill.llm.common import documents, shared_table
+from lanemill.llm.common import SLICE_ROWS, documents, shared_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +63,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between two stages is written and read again."""
+    # Python takes slices of this size anyway; larger batches only stand in memory on both sides.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SLICE_ROWS))
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = shared_table(spark, stage(spark, docs, sf_dir), name)
