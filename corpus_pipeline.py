@@ -6,11 +6,13 @@ read again as the next one's ``docs``. All but the last return the columns of ``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanemill.llm import exact_dedup, langid, mixing, neardup, pieces
-from lanemill.llm.common import SLICE_ROWS, documents, shared_table
+from lanemill.llm.common import documents, shared_table, small_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +50,22 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     )
 
 
+def frugally(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage with small batches for Python, also where it is run by itself."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", language_id),
-    ("exact_dedup", exact_dedup_stage),
-    ("near_dedup", near_dedup),
-    ("mixing", mix_sources),
-    ("sentencepiece", encode_pieces),
+    ("language_id", frugally(language_id)),
+    ("exact_dedup", frugally(exact_dedup_stage)),
+    ("near_dedup", frugally(near_dedup)),
+    ("mixing", frugally(mix_sources)),
+    ("sentencepiece", frugally(encode_pieces)),
 ]
 
 #: Recognising languages by compression and scoring pieces are beyond SQL; the stages are tested
@@ -63,8 +75,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between two stages is written and read again."""
-    # Python takes slices of this size anyway; larger batches only stand in memory on both sides.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SLICE_ROWS))
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = shared_table(spark, stage(spark, docs, sf_dir), name)

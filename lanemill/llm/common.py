@@ -57,6 +57,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 SLICE_ROWS = 1000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python takes slices of ``SLICE_ROWS`` anyway; larger batches only stand in memory on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SLICE_ROWS))
+
+
 def release() -> None:
     """Hand memory that a task no longer needs back to the machine; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
@@ -65,6 +70,10 @@ def release() -> None:
         trim(0)
 
 
+#: Called at the end of each task: they drop what a module keeps from one block to the next.
+AT_END: list[Callable[[], None]] = []
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """``run`` over slices of the batches, so that a large batch is never held as objects as a whole;
     memory is handed back at the end of the task."""
@@ -76,11 +85,17 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(sliced(batches))
-        release()
+        end_task()
 
     return wrapped
 
 
+def end_task() -> None:
+    for forget in AT_END:
+        forget()
+    release()
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -46,7 +46,7 @@ _BASE = 0x9E3779B97F4A7C15
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 _CELLS = 1_500_000
 _LEAD = 20
-#: Distinct chunks that a worker remembers from one block of texts to the next.
+#: Distinct chunks that a task remembers from one block of texts to the next.
 MEMORY = 250_000
 
 
@@ -101,12 +101,12 @@ class Segmenter:
         #: Whether any key has these leading bits: few other hashes need the search.
         self.maybe = np.zeros(1 << _LEAD, bool)
         self.maybe[self.keys >> np.uint64(64 - _LEAD)] = True
-        self.memo: dict[str, list] = {}
         self.forget()
 
     def forget(self) -> None:
         """Drop what is remembered of earlier chunks."""
         self.number = _Numbers()
+        self.memo: dict[str, list] = {}
         self.best, self.gap = np.zeros(0), np.zeros(0)
         self.count, self.begin = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.empty(0, np.int32)
@@ -317,7 +317,7 @@ class Segmenter:
 
 @lru_cache(maxsize=1)
 def segmenter_of(vocabulary: Vocabulary) -> Segmenter:
-    """One segmenter per worker process, so that later tasks find what earlier ones learned."""
+    """One segmenter per worker process; what it remembers of texts ends with the task."""
     return Segmenter(vocabulary)
 
 
@@ -340,6 +340,7 @@ def segment(df: DataFrame, keep: list[str], n: int = N_BEST, model: str = MODEL)
                 others = pa.array([[{"score": s, "swaps": [{"chunk": c, "ids": w} for c, w in swaps]} for s, swaps in x[2]] for x in found], other)
                 columns = [batch.column(c).slice(a, b - a) for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, ids, pa.array([x[1] for x in found], pa.float64()), others], [*keep, "__lm_ids", "__lm_score", "__lm_others"])
+        segmenter.forget()  # Spark gives tasks to idle workers in turn, so it would soon stand in each of them
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
     schema = ", ".join([*fields, "__lm_ids array<int>, __lm_score double, __lm_others array<struct<score:double,swaps:array<struct<chunk:int,ids:array<int>>>>>"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import blocks
+from .common import AT_END, blocks
 
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
@@ -32,6 +32,7 @@ def _byte_values() -> np.ndarray:
 
 _VALUE = _byte_values()
 _POWERS: list[np.ndarray] = []
+AT_END.append(_POWERS.clear)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ import os
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,3 +286,34 @@ def test_pipeline_stages_against_brute_force(spark):
     s = pieces.Segmenter(pieces.load())
     place = docs.columns.index("ids")
     assert {r[0]: s.decode(r[place]) for r in kept["sentencepiece"]} == {d: text_of[d] for d in near}
+
+
+def test_each_stage_asks_for_small_batches_by_itself(spark):
+    import corpus_pipeline as pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(i, f"kata lumi peto {i}", "aa", "s", 9) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = pipeline.shared_table(spark, docs, "docs")
+    before = spark.conf.get(name)
+    for stage, run in pipeline.STAGES:
+        spark.conf.set(name, "10000")
+        run(spark, docs, "")
+        assert int(spark.conf.get(name)) <= 1000, stage
+    spark.conf.set(name, before)
+
+
+def test_workers_keep_nothing_of_texts_after_a_task(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(64)], "doc_id long, text string").repartition(8)
+    assert pieces.segment(docs, ["doc_id"]).count() == 64
+    described = neardup.linked(docs)
+    assert described.count() == 64
+
+    def kept(batches):
+        from lanemill.llm import textkit
+
+        segmenter = pieces.segmenter_of(pieces.load())
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(segmenter.number) + len(segmenter.memo) + len(segmenter.flat) + sum(map(len, textkit._POWERS))]})
+
+    # More tasks than workers, so that each idle worker gets some.
+    assert {r.n for r in spark.range(0, 16, 1, 16).mapInArrow(kept, "n long").collect()} == {0}
