@@ -7,10 +7,13 @@ search under a character language model finds the most likely clean reading; all
 has a single path and stays as it is. The restored words are matched with a lexicon of words
 and word beginnings learned from labelled rows.
 
+The lexicon comes from all labelled rows: tasks count words and entries, the counts are added
+up by entry, and toxic texts that firm entries leave open are covered by a greedy choice.
+
 All distinct words add their evidence. A lexicon entry's is the share of toxic texts among the
-sampled ones that hold it (at least one half), and independent entries combine as such: one
+labelled ones that hold it (at least one half), and independent entries combine as such: one
 minus the product of what each leaves. Where there is no entry, the score is the share of toxic
-texts among the sampled ones that the lexicon leaves open.
+texts among the labelled ones that the lexicon leaves open.
 
 Defined cases: null and empty texts get the score of a text without evidence; repeated rows
 get equal scores; with no labelled row every score is 0; very long tokens are decoded whole; an
@@ -19,26 +22,29 @@ empty table gives an empty result; a column to keep may have any name but ``scor
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, frugal, labels, text_bytes
-from .quality import sample
+from .common import documents, fold, frugal, labels, shared_table, text_bytes
 
-#: Most labelled documents in the sample.
-SAMPLE_DOCS = 8000
 #: A lexicon entry must be in so many unlike toxic texts, and this rarely in others.
 MIN_TEXTS, MIN_PURITY, PRIOR = 6, 0.9, 3.0
 #: Toxic texts that such entries leave open may add entries that are in so many of them and in no other text.
 MIN_OPEN = 3
+#: Counts (or words) that a task holds before it passes them on.
+HELD = 200_000
+#: Pairs of open texts and entries up to which their cover takes one pass in the driver instead of rounds.
+ONE_PASS = 200_000
 #: Lengths of the word beginnings that may be entries.
 BEGINNINGS = (4, 5, 6)
 # Letters that digits and signs look like.
@@ -86,17 +92,27 @@ class CharacterModel:
     two: dict[str, float] = field(default_factory=dict)
     one: dict[str, float] = field(default_factory=dict)
 
-    @classmethod
-    def fit(cls, words: Counter) -> CharacterModel:
-        counts = [Counter(), Counter(), Counter()]
-        before = [Counter(), Counter(), Counter()]
-        for word, n in words.items():
+    @staticmethod
+    def grams(words: Iterable[tuple[str, int]]) -> Counter:
+        """Counts of one to three characters that follow each other in words and after them."""
+        counts = Counter()
+        for word, n in words:
             text = f"  {word} "
             for i in range(2, len(text)):
                 for k in range(3):
-                    counts[k][text[i - k : i + 1]] += n
-                    before[k][text[i - k : i]] += n
-        models = [{g: math.log(c / before[k][g[:-1]]) for g, c in counts[k].items()} for k in range(3)]
+                    counts[text[i - k : i + 1]] += n
+        return counts
+
+    @classmethod
+    def fit(cls, words: Counter) -> CharacterModel:
+        return cls.of(cls.grams(words.items()))
+
+    @classmethod
+    def of(cls, grams: dict[str, int]) -> CharacterModel:
+        before = Counter()
+        for g, c in grams.items():
+            before[g[:-1]] += c
+        models = [{g: math.log(c / before[g[:-1]]) for g, c in grams.items() if len(g) == k + 1} for k in range(3)]
         return cls(models[2], models[1], models[0])
 
     def cost(self, context: str, c: str) -> float:
@@ -147,7 +163,7 @@ def plain_words(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def entries(words: set[str]) -> set[str]:
+def entries(words: Iterable[str]) -> set[str]:
     """Possible lexicon entries of a text: ``word$`` and word beginnings."""
     found = {w + "$" for w in words if len(w) > 2}
     for k in BEGINNINGS:
@@ -155,31 +171,6 @@ def entries(words: set[str]) -> set[str]:
     return found
 
 
-def learn(rows: list[tuple[set[str], bool]]) -> dict[str, float]:
-    """Lexicon entries and their evidence: what many unlike toxic texts hold and few others do.
-
-    Near copies share their least hashed word, so texts with the same one count once."""
-    seen: dict[str, set[int]] = {}
-    for words, label in rows:
-        if label and words:
-            kind = min(zlib.crc32(w.encode()) for w in words)
-            for e in entries(words):
-                seen.setdefault(e, set()).add(kind)
-    likely = {e: len(kinds) for e, kinds in seen.items() if len(kinds) >= MIN_OPEN}
-    clean = Counter(e for words, label in rows if not label for e in entries(words) & likely.keys())
-    evidence = {e: (n + 0.5) / (n + clean[e] + PRIOR) for e, n in likely.items()}
-    found = {e: evidence[e] for e, n in likely.items() if n >= MIN_TEXTS and n / (n + clean[e]) >= MIN_PURITY}
-    pure = {e for e in likely if not clean[e]} - found.keys()
-    left = [x & pure for x in (entries(words) for words, label in rows if label) if not x & found.keys()]
-    while True:
-        new = Counter(e for x in left for e in x)
-        best = max(new, key=lambda e: (new[e], likely[e], e), default=None)
-        if best is None or new[best] < MIN_OPEN:
-            return found
-        found[best] = evidence[best]
-        left = [x for x in left if best not in x]
-
-
 @dataclass
 class Model:
     characters: CharacterModel
@@ -217,28 +208,182 @@ class Evidence(dict):
         return max(0.5, -math.expm1(left)) if left < 0 else self.model.base
 
 
-def train(docs: DataFrame, marks: DataFrame, label: str = "toxic", size: int = SAMPLE_DOCS) -> Model:
-    """Learn from a sample of at most ``size`` labelled rows; only their distinct words are collected."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [sorted(plain_words(t.decode("utf-8", "replace"))) for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(words, pa.list_(pa.string()))], ["label", "words"])
-
-    found = sample(docs, marks, label, size).select("label", "text").mapInArrow(frugal(run), "label int, words array<string>").toArrow()
-    known: dict[str, str] = {}  # one copy of each word, as the texts share most of theirs
-    rows = []
-    for batch in found.to_batches(max_chunksize=200):
-        for label_, words in zip(batch.column("label").to_pylist(), batch.column("words").to_pylist(), strict=True):
-            rows.append(({known.setdefault(w, w) for w in words}, bool(label_)))
-    del found, known
-    if not rows:
+def _unpacked(column: pa.Array) -> Iterator[list[str]]:
+    """The words of each text, as they were packed."""
+    unpack = zstandard.ZstdDecompressor()
+    for x in column.to_pylist():
+        yield unpack.decompress(x).decode().split()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        words = (sorted(plain_words(t.decode("utf-8", "replace"))) for t in text_bytes(batch.column("text")))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack.compress("\n".join(w).encode()) for w in words], pa.binary())], ["doc_id", "words"])
+
+
+def labelled(docs: DataFrame, marks: DataFrame, label: str) -> DataFrame:
+    """The distinct words of every labelled text: doc_id, label, words; of texts with the same id one counts."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = marks.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("boolean").alias("label"))
+    words = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(frugal(_packed), f"doc_id {kind}, words binary")
+    found = words.join(own, "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("words").alias("words"))
+    return shared_table(docs.sparkSession, found, "labelled")
+
+
+def _counts(held: Counter, **also: bool) -> pa.RecordBatch:
+    """The counts of keys as rows; they are counted anew from then on."""
+    own = [pa.array([x] * len(held), pa.bool_()) for x in also.values()]
+    batch = pa.RecordBatch.from_arrays([*own, pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], [*also, "key", "n"])
+    held.clear()
+    return batch
+
+
+def _of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each word is, and (clean) in how many texts that are not toxic each entry is."""
+    words, clean = Counter(), Counter()
+    for batch in batches:
+        for label, own in zip(batch.column("label").to_pylist(), _unpacked(batch.column("words")), strict=True):
+            words.update(own)
+            if not label:
+                clean.update(entries(own))
+            if len(words) + len(clean) > HELD:
+                yield _counts(words, clean=False)
+                yield _counts(clean, clean=True)
+    yield _counts(words, clean=False)
+    yield _counts(clean, clean=True)
+
+
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of unlike texts: near copies share their least hashed word and become one row."""
+    pack, held, size = zstandard.ZstdCompressor(level=1), {}, 0
+
+    def rows() -> pa.RecordBatch:
+        words = [pack.compress("\n".join(sorted(w)).encode()) for w in held.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(words, pa.binary())], ["kind", "words"])
+
+    for batch in batches:
+        for words in _unpacked(batch.column("words")):
+            if words:
+                own = held.setdefault(min(zlib.crc32(w.encode()) for w in words), set())
+                size -= len(own)
+                own.update(words)
+                size += len(own)
+            if size > HELD:
+                yield rows()
+                held, size = {}, 0
+    yield rows()
+
+
+def _of_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many kinds of texts each entry is; the rows of a kind follow each other."""
+    held, kind, own = Counter(), None, set()
+    for batch in batches:
+        for k, words in zip(batch.column("kind").to_pylist(), _unpacked(batch.column("words")), strict=True):
+            if k != kind:
+                held.update(entries(own))
+                kind, own = k, set()
+                if len(held) > HELD:
+                    yield _counts(held)
+            own.update(words)
+    held.update(entries(own))
+    yield _counts(held)
+
+
+def _of_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _counts(CharacterModel.grams(zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), strict=True)))
+
+
+def cover(pairs: DataFrame, one_pass: int = ONE_PASS) -> tuple[list[str], int]:
+    """Of the entries ``key`` of open texts ``doc_id``, those that a greedy cover takes, and how many texts they cover.
+
+    The entry in most open texts is taken (of equal ones that with the largest ``n``, then key) and
+    its texts go, as long as it is in ``MIN_OPEN`` texts. An entry that comes first in each of its
+    texts is taken anyhow, since the counts of others only fall; all such are taken in one round.
+    """
+    taken: list[str] = []
+    covered = 0
+    while True:
+        often = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("open")).filter(F.col("open") >= MIN_OPEN)
+        pairs = shared_table(pairs.sparkSession, pairs.join(often, "key"), "open")
+        if pairs.count() <= one_pass:
+            rest, more = _cover([tuple(r) for r in pairs.select("doc_id", "key", "n").collect()])
+            return taken + rest, covered + more
+        rank = F.struct("open", "n", "key")
+        best = pairs.groupBy("doc_id").agg(F.max(rank).alias("best"))
+        first = pairs.join(best, "doc_id").groupBy("key").agg(F.min(rank == F.col("best")).alias("first")).filter("first").select("key")
+        first = shared_table(pairs.sparkSession, first, "taken")
+        gone = shared_table(pairs.sparkSession, pairs.join(first, "key").select("doc_id").distinct(), "covered")
+        taken += [r.key for r in first.collect()]
+        covered += gone.count()
+        pairs = pairs.drop("open").join(gone, "doc_id", "left_anti")
+
+
+def _cover(rows: list[tuple]) -> tuple[list[str], int]:
+    """The same in one pass over (text, entry, n)."""
+    order = {key: i for i, (_, key) in enumerate(sorted({(n, key) for _, key, n in rows}, reverse=True))}
+    texts, holders = {}, {}
+    for text, key, _ in rows:
+        texts.setdefault(text, []).append(key)
+        holders.setdefault(key, set()).add(text)
+    heap = [(-len(own), order[key], key) for key, own in holders.items()]
+    heapq.heapify(heap)
+    taken, covered = [], 0
+    while heap:
+        count, place, key = heapq.heappop(heap)
+        own = holders[key]
+        if len(own) < MIN_OPEN:
+            continue
+        if len(own) < -count:  # some of its texts have gone since
+            heapq.heappush(heap, (-len(own), place, key))
+            continue
+        taken.append(key)
+        covered += len(own)
+        for text in list(own):
+            for other in texts.pop(text):
+                holders[other].discard(text)
+    return taken, covered
+
+
+def train(docs: DataFrame, marks: DataFrame, label: str = "toxic") -> Model:
+    """Learn from all labelled rows; only lexicon entries, character counts and the last open texts are collected."""
+    spark = docs.sparkSession
+    rows = labelled(docs, marks, label)
+    total = rows.count()
+    if not total:
         return Model(CharacterModel(), {}, 0.0)
-    lexicon = learn(rows)
-    counts = Counter(w for words, _ in rows for w in words)
-    characters = CharacterModel.fit(counts)
-    missed = sum(label and not (entries(words) & lexicon.keys()) for words, label in rows)
-    return Model(characters, lexicon, min(0.4, (missed + 0.5) / (len(rows) + 1)))
+    counts = rows.select("label", "words").mapInArrow(frugal(_of_rows), "clean boolean, key string, n long")
+    counts = shared_table(spark, counts.groupBy("clean", "key").agg(F.sum("n").alias("n")), "counts")
+    grams = counts.filter("NOT clean").select("key", "n").mapInArrow(frugal(_of_grams), "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    characters = CharacterModel.of(dict(zip(grams["key"].to_pylist(), grams["n"].to_pylist(), strict=True)))
+
+    # Entries in some kinds of toxic texts, and in how many other texts they are.
+    toxic = rows.filter("label")
+    kinds = toxic.select("words").mapInArrow(frugal(_kinds), "kind long, words binary").repartition("kind").sortWithinPartitions("kind")
+    likely = kinds.mapInArrow(frugal(_of_kinds), "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_OPEN)
+    clean = counts.filter("clean").select("key", F.col("n").alias("clean"))
+    likely = likely.join(clean, "key", "left").select("key", "n", F.coalesce("clean", F.lit(0)).alias("clean"))
+    firm = (F.col("n") >= MIN_TEXTS) & (F.col("n") / (F.col("n") + F.col("clean")) >= MIN_PURITY)
+    likely = shared_table(spark, likely.withColumn("firm", firm).filter("firm OR clean = 0"), "entries")
+    lexicon = {r.key: (r.n + 0.5) / (r.n + r.clean + PRIOR) for r in likely.filter("firm").collect()}
+
+    sent = spark.sparkContext.broadcast(frozenset(lexicon))
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [entries(words) for words in _unpacked(batch.column("words"))]
+            found = [None if own & sent.value else sorted(own) for own in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "keys"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    open_ = toxic.select("doc_id", "words").mapInArrow(frugal(left), f"doc_id {kind}, keys array<string>").filter("keys IS NOT NULL")
+    open_ = shared_table(spark, open_, "left")
+    pure = likely.filter("NOT firm").select("key", "n")
+    taken, covered = cover(open_.select("doc_id", F.explode("keys").alias("key")).join(pure, "key"))
+    few = spark.createDataFrame([(x,) for x in taken], "key string")
+    lexicon |= {r.key: (r.n + 0.5) / (r.n + PRIOR) for r in pure.join(few, "key").collect()}
+    return Model(characters, lexicon, min(0.4, (open_.count() - covered + 0.5) / (total + 1)))
 
 
 def score(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -260,6 +405,6 @@ def score(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, marks = documents(spark, sf_dir), labels(spark, sf_dir)
     held_out = fold(F.col("doc_id"), 5) == 0
-    model = train(docs, marks.filter(~held_out))
+    model = train(docs.filter(~held_out), marks.filter(~held_out))
     found = score(docs, model, ["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -266,6 +266,71 @@ def test_disguises_next_to_signs_and_blanks(spark):
     assert toxicity.spaced("s c u m.") == "s c u m" and toxicity.SPACED.search("you s c u m.")[0] == "s c u m."
 
 
+def plain_lexicon(rows):
+    """Lexicon and number of missed toxic texts of (words, toxic), one entry taken after the other."""
+    t = toxicity
+    seen, clean = defaultdict(set), Counter()
+    for words, label in rows:
+        if not label:
+            clean.update(t.entries(words))
+        elif words:
+            for e in t.entries(words):
+                seen[e].add(min(zlib.crc32(w.encode()) for w in words))
+    likely = {e: len(kinds) for e, kinds in seen.items() if len(kinds) >= t.MIN_OPEN}
+    evidence = {e: (n + 0.5) / (n + clean[e] + t.PRIOR) for e, n in likely.items()}
+    found = {e: evidence[e] for e, n in likely.items() if n >= t.MIN_TEXTS and n / (n + clean[e]) >= t.MIN_PURITY}
+    pure = {e for e in likely if not clean[e]} - found.keys()
+    left = [x & pure for x in (t.entries(words) for words, label in rows if label) if not x & found.keys()]
+    while new := Counter(e for x in left for e in x):
+        best = max(new, key=lambda e: (new[e], likely[e], e))
+        if new[best] < t.MIN_OPEN:
+            break
+        found[best] = evidence[best]
+        left = [x for x in left if best not in x]
+    return found, sum(label and not (t.entries(words) & found.keys()) for words, label in rows)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    rnd = random.Random(11)
+    name = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    common, bad, rare = [name() for _ in range(60)], ["zidiot", "zmoron", "zcretin"], [f"zz{name()}" for _ in range(6)]
+    docs = []
+    for i in range(8600):
+        words = [rnd.choice(common) for _ in range(5)]
+        if i % 10 == 0:
+            words += [rnd.choice(bad)] if i % 100 else [rare[i // 100 % 20]] if i // 100 % 20 < 6 else []
+        docs.append((i, " ".join(words)))
+    docs += [(8600 + i, docs[20][1] + " ZIDIOT") for i in range(30)] + [(8700, None), (8701, ""), (8702, "zmoron")]
+    labels = [(i, 1, int(i % 10 == 0 or 8600 <= i < 8630)) for i, _ in docs] + [(20, 1, 1), (99_999, 1, 1), (None, 1, 1)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(spark.createDataFrame(docs, DOC), marks)
+    toxic = {i: t for i, _, t in labels}
+    rows = [(toxicity.plain_words(text or ""), bool(toxic[i])) for i, text in docs]
+    lexicon, missed = plain_lexicon(rows)
+    assert model.lexicon == lexicon and {"zidiot$", "zcretin$"} <= lexicon.keys() and set(rare) & {e[:-1] for e in lexicon}
+    assert model.base == min(0.4, (missed + 0.5) / (len(rows) + 1)) and missed
+    assert model.characters == toxicity.CharacterModel.fit(Counter(w for words, _ in rows for w in words))
+
+
+def test_a_cover_in_rounds_takes_what_one_pass_takes(spark):
+    for seed in range(3):
+        rnd = random.Random(seed)
+        n = [rnd.randint(3, 5) for _ in range(30)]
+        pairs = [(d, f"e{k}", n[k]) for d in range(80) for k in rnd.sample(range(30), rnd.randint(0, 4))]
+        left, taken = {d: {k for x, k, _ in pairs if x == d} for d in range(80)}, set()
+        while True:  # one entry after the other
+            often = Counter(k for own in left.values() for k in own)
+            best = max(often, key=lambda k: (often[k], n[int(k[1:])], k), default=None)
+            if best is None or often[best] < toxicity.MIN_OPEN:
+                break
+            taken.add(best)
+            left = {d: own for d, own in left.items() if best not in own}
+        df = spark.createDataFrame(pairs, "doc_id long, key string, n long")
+        for one_pass in (0, 60, 10_000):
+            found, covered = toxicity.cover(df, one_pass)
+            assert set(found) == taken and len(found) == len(taken) and covered == 80 - len(left)
+
+
 def test_viterbi_equals_the_best_of_all_readings():
     model = toxicity.CharacterModel.fit(Counter({"moron": 5, "stone": 9, "light": 4}))
 
